@@ -1,10 +1,10 @@
 """Mixed timestamp formats and zones to one unambiguous form.
 
 ``normalize`` reads a raw string column by a list of formats, and resolves local times by an
-as-of join to zone-offset intervals that are exploded by month: two matching intervals mean an
+as-of join to zone-offset intervals that are exploded by year: two matching intervals mean an
 ambiguous wall time (the earlier instant is taken), none a skipped one (the offset in force
 before the change is taken), one gives the offset directly. The interval table has one row per
-zone and month of 1900 to 2199, so its size has a fixed bound and it is broadcast.
+zone and year of 1900 to 2199, so its size has a fixed bound and it is broadcast.
 
 Defined results: NULL, empty, unreadable or impossible values (31.02., 25 o'clock, a three-digit
 year, a month without a day) give ``status = 'unreadable'`` and no instant; a value without time of
@@ -70,11 +70,16 @@ def _transitions(zone: str) -> tuple[tuple[int, int], ...]:
     return tuple(found)
 
 
+def _since_epoch(year: int) -> int:
+    return int((dt.datetime(year, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds())
+
+
 def zone_intervals(spark: SparkSession, zones: tuple[str, ...]) -> DataFrame:
-    """Zone-offset intervals exploded by month: ``(zone, bucket, spans)``.
+    """Zone-offset intervals exploded by year: ``(zone, bucket, spans)``.
 
     A span is valid for the local seconds [lo, hi) and the instants [u_lo, u_hi); ``as_of`` ends the
-    wall times for which it is the last valid one, so that it covers the skipped times after it.
+    wall times for which it is the last valid one, so that it covers the skipped times after it. The
+    first and last year also stand for all years before and after.
     """
     rows = []
     for zone in zones:
@@ -85,18 +90,9 @@ def zone_intervals(spark: SparkSession, zones: tuple[str, ...]) -> DataFrame:
             lo, hi = (u + off if u > -FAR else -FAR), (nxt[0] + off if nxt[0] < FAR else FAR)
             as_of = max(hi, nxt[0] + nxt[1]) if nxt[0] < FAR else FAR
             spans.append((lo, hi, as_of, u, nxt[0], off))
-        first = 0
-        for bucket in range(FIRST_YEAR * 12, (LAST_YEAR + 1) * 12):
-            y, m = divmod(bucket, 12)
-            a = int((dt.datetime(y, m + 1, 1) - dt.datetime(1970, 1, 1)).total_seconds()) - 86400
-            b = a + 33 * 86400
-            while first < len(spans) - 1 and max(spans[first][2], spans[first][4]) < a:
-                first += 1
-            at, near = first, []
-            while at < len(spans) and min(spans[at][0], spans[at][3]) < b:
-                near.append(spans[at])
-                at += 1
-            rows.append((zone, bucket, near))
+        for year in range(FIRST_YEAR, LAST_YEAR + 1):
+            a, b = _since_epoch(year) - 86400, _since_epoch(year + 1) + 86400
+            rows.append((zone, year, [x for x in spans if max(x[2], x[4]) >= a and min(x[0], x[3]) < b]))
     schema = "zone string, bucket int, spans array<struct<lo: bigint, hi: bigint, as_of: bigint, u_lo: bigint, u_hi: bigint, off: int>>"
     return spark.createDataFrame(rows, schema)
 
@@ -116,8 +112,9 @@ def _number(c: Column) -> Column:
 
 
 def _bucket(seconds: Column) -> Column:
-    day = F.date_from_unix_date(F.greatest(F.lit(-25567), F.least(F.lit(84005), F.floor(seconds / 86400))).cast("int"))
-    return (F.year(day) * 12 + F.month(day) - 1).cast("int")
+    lo, hi = _since_epoch(FIRST_YEAR), _since_epoch(LAST_YEAR + 1) - 1
+    day = F.date_from_unix_date(F.floor(F.greatest(F.lit(lo), F.least(F.lit(hi), seconds)) / 86400).cast("int"))
+    return F.year(day)
 
 
 def normalize(df: DataFrame, column: str, zone: str = CITY_ZONE, zones: tuple[str, ...] = (), prefix: str = "ts_") -> DataFrame:
@@ -178,7 +175,7 @@ def normalize(df: DataFrame, column: str, zone: str = CITY_ZONE, zones: tuple[st
     valid = F.filter(f"{p}spans", lambda x: (x.lo <= loc) & (loc < x.hi))
     held = F.filter(f"{p}spans", lambda x: (x.lo <= loc) & (loc < x.as_of))
     then = F.filter(f"{p}spans", lambda x: (x.u_lo <= at) & (at < x.u_hi))
-    d = d.withColumns({f"{p}n": F.size(valid), f"{p}first": F.array_max(F.transform(F.when(F.size(valid) > 0, valid).otherwise(held), lambda x: x.off)), f"{p}then": F.element_at(F.transform(then, lambda x: x.off), 1)})
+    d = d.withColumns({f"{p}n": F.size(valid), f"{p}first": F.array_max(F.transform(F.when(F.size(valid) > 0, valid).otherwise(held), lambda x: x.off)), f"{p}then": F.try_element_at(F.transform(then, lambda x: x.off), F.lit(1))})
     instant = F.when(at.isNotNull(), at).when(F.col(f"{p}ok"), loc - F.col(f"{p}first"))
     city_day = F.when(at.isNotNull(), F.date_from_unix_date(F.floor((at + F.col(f"{p}then")) / 86400).cast("int"))).when(F.col(f"{p}ok"), F.date_from_unix_date(F.floor(F.coalesce(loc / 86400, F.unix_date(F.col(f"{p}day")))).cast("int")))
     n = F.col(f"{p}n")
