@@ -84,4 +84,4 @@ def shares(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed:
     p = plan(sizes, targets, total).join(drawn, "source", "left")
     zero = {c: 0 for c in ("tokens", "copies", "docs", "repeats")}
     p = p.fillna(zero)
-    return p.select("source", "target_share", "max_repeats", "held", "docs", "copies", "repeats", "tokens", (F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1)))).alias("actual_share"))
+    return p.select("source", "target_share", "max_repeats", "held", "docs", "copies", "repeats", "tokens", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)).alias("actual_share"))

@@ -33,6 +33,8 @@ LABELS = 20_000
 ROUNDS = 5
 #: Occurrences of a sentence that are left out of the models when it is dealt to one.
 ITSELF = 3
+#: Part of the weight that a sentence dealt to no subject keeps in those of its documents.
+DOUBT = 0.3
 SHARE = 1 / 3
 #: Weights of trigram, bigram, unigram and of any word at all.
 MIX = (0.55, 0.28, 0.14, 0.03)
@@ -163,6 +165,7 @@ class Subjects:
             distinct[s] += n
             for x in names:
                 dealt[s][x] += n / len(names)
+        labelled = {s: Counter(c) for s, c in dealt.items()}
         self.models = {x: Model(size) for x in self.names}
         for s, n in distinct.items():
             self.background.add(s, n)
@@ -177,7 +180,8 @@ class Subjects:
                 for x, k in dealt[s].items():
                     self.models[x].add(s, -k * out / n)
                 x = self.about(s)
-                new[s] = Counter({x: n} if x else {})
+                # one that is dealt to none keeps a part of its labels' weight, so that it may return
+                new[s] = Counter({x: n} if x else {y: k * DOUBT for y, k in labelled[s].items()})
                 self.background.add(s, out)
                 for x, k in dealt[s].items():
                     self.models[x].add(s, k * out / n)
