@@ -21,11 +21,12 @@ def jsonl(spark: SparkSession, path: str, schema: str | StructType = RELEASE) ->
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
     """(readable rows, broken lines). A cut-off last line lands among the broken ones."""
-    s = _schema(schema).add("_bad", "string")
-    d = spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("lineSep", "\n").json(path)
-    # kept apart from the scan: Spark can't read the corrupt column alone from a JSON scan
-    d = d.select("*", F.lit(1).alias("_one"))
-    return d.where("_bad is null").drop("_bad", "_one"), d.where("_bad is not null and _one = 1").select(F.col("_bad").alias("line"))
+    # read as lines: Spark can't select the corrupt column alone from a JSON scan
+    s = StructType([*_schema(schema).fields]).add("_bad", "string")
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.length("value") > 0)
+    d = lines.select("value", F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    broken = F.col("r._bad").isNotNull()
+    return d.where(~broken).select("r.*").drop("_bad"), d.where(broken).select(F.col("value").alias("line"))
 
 
 def csv(spark: SparkSession, path: str, schema: str | StructType, date_format: str = "yyyy-MM-dd") -> DataFrame:

@@ -25,9 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream of its files; ``path`` may also name a single file."""
     r = spark.readStream.schema(schema)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
+        return r.option("pathGlobFilter", name).parquet(folder)
     return r.parquet(path)
 
 
