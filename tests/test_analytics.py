@@ -145,3 +145,16 @@ def test_update_gate(spark):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, d timestamp, t timestamp")
     got = [r.g for r in df.select("k", jobs.hour_gate(F.col("d"), F.col("t"), F.lit(now)).alias("g")).orderBy("k").collect()]
     assert got == [True, False, True, False, True]
+
+
+def test_holidays(spark):
+    got = {(str(r.day), r.holiday) for r in panel.holidays(spark.createDataFrame([(2024,), (2025,), (2025,), (None,)], "year int")).collect()}
+    assert len(got) == 20 and {("2024-03-29", "Karfreitag"), ("2025-04-21", "Ostermontag"), ("2025-05-29", "Christi Himmelfahrt"), ("2025-06-09", "Pfingstmontag"), ("2024-10-31", "Reformationstag")} <= got
+
+
+def test_archive_comes_back_from_its_copy(spark):
+    cols = ", ".join(f"{f} string" for f in archive.FIELDS)
+    a = spark.createDataFrame([("1", "T", None, None, None, "x", "u")], cols)
+    b = spark.createDataFrame([("1", "T", "d", None, None, "x", "u"), ("2", "U", None, None, None, "y", "u")], cols)
+    assert sorted((r.key, r.publish_date) for r in archive.load(a, b).collect()) == [("1", "d"), ("2", None)]
+    assert [r.key for r in archive.lost(archive.load(b, b), archive.load(a, a)).collect()] == ["2"]

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wachbuch.functions.rules import model_note
+
 MODELS = ("naive", "exp_decay", "dow", "long_run", "ensemble")
 
 
@@ -110,3 +112,11 @@ def marked(events: DataFrame, origins: DataFrame, k: int = 5, half_life: float =
     s = known_by(events, origins, half_life).withColumn("score", F.round("score", 9))
     rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("score"), "district"))
     return s.withColumn("rank", rank).where(F.col("rank") <= k).select("day", "district", "rank", "n_known")
+
+
+def check(panel: DataFrame, observed: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """One row: hit rate of the ensemble, of chance, and of always naming the busiest districts, with a note."""
+    b = backtest(panel, observed, k, models=("ensemble", "long_run"))
+    pick = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+    r = b.agg(F.max("test_days").alias("test_days"), pick("ensemble", "precision_at_k").alias("hit_rate"), pick("ensemble", "random_rate").alias("random_rate"), pick("long_run", "precision_at_k").alias("always_busiest"))
+    return r.where("test_days is not null").withColumn("note", model_note(F.col("hit_rate"), F.col("random_rate"), F.col("always_busiest")))

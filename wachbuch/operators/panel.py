@@ -53,6 +53,30 @@ def with_features(totals: DataFrame, features: DataFrame, day: str = "day") -> D
     return totals.join(features, day, "left")
 
 
+def easter(year: Column) -> Column:
+    """Easter Sunday of a year of the Gregorian calendar (the anonymous algorithm, integer arithmetic)."""
+    div = lambda a, b: F.floor(a / b).cast("int")
+    a, b, c = year % 19, div(year, 100), year % 100
+    h = (19 * a + b - div(b, 4) - div(b - div(b + 8, 25) + 1, 3) + 15) % 30
+    w = (32 + 2 * (b % 4) + 2 * div(c, 4) - h - c % 4) % 7
+    m = div(a + 11 * h + 22 * w, 451)
+    n = h + w - 7 * m + 114
+    return F.make_date(year, div(n, 31), n % 31 + 1)
+
+
+#: Holidays of the region, by month and day or by distance from Easter Sunday.
+FIXED_HOLIDAYS = (("Neujahr", 1, 1), ("Tag der Arbeit", 5, 1), ("Tag der Deutschen Einheit", 10, 3), ("Reformationstag", 10, 31), ("1. Weihnachtstag", 12, 25), ("2. Weihnachtstag", 12, 26))
+EASTER_HOLIDAYS = (("Karfreitag", -2), ("Ostermontag", 1), ("Christi Himmelfahrt", 39), ("Pfingstmontag", 50))
+
+
+def holidays(years: DataFrame, year: str = "year") -> DataFrame:
+    """``day, holiday`` of the given years."""
+    y = F.col(year).cast("int")
+    fixed = [F.struct(F.make_date(y, F.lit(m), F.lit(d)).alias("day"), F.lit(n).alias("holiday")) for n, m, d in FIXED_HOLIDAYS]
+    moving = [F.struct(F.date_add(easter(y), k).alias("day"), F.lit(n).alias("holiday")) for n, k in EASTER_HOLIDAYS]
+    return years.where(y.isNotNull()).select(F.explode(F.array(*fixed, *moving)).alias("h")).select("h.day", "h.holiday").distinct()
+
+
 # -- coverage -----------------------------------------------------------------------------------
 
 

@@ -27,29 +27,43 @@ def grid(events: DataFrame, covered: DataFrame) -> DataFrame:
     return days.crossJoin(F.broadcast(series)).join(n, ["district", "category", "day"], "left").fillna(0, ["n"])
 
 
-def posterior(g: DataFrame, half_life: float = HALF_LIFE, prior: float = PRIOR, prior_any: float = PRIOR_ANY) -> DataFrame:
+def posterior(g: DataFrame, half_life: float | Column = HALF_LIFE, prior: float | Column = PRIOR, prior_any: float | Column = PRIOR_ANY, per: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``a, b`` of the Gamma posterior from earlier days only, and ``seen``, the events so far.
 
-    Yesterday has age 1. A series' typical rate is its category's city rate by its district's share.
+    Yesterday has age 1. A series' typical rate is its category's city rate by its district's share. The
+    parameters may be columns; ``per`` then names the columns that tell the settings apart.
     """
-    run = Window.partitionBy("district", "category").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    half_life, prior, prior_any = (x if isinstance(x, Column) else F.lit(x) for x in (half_life, prior, prior_any))
+    run = Window.partitionBy(*per, "district", "category").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     up = F.pow(F.lit(2.0), F.col("t") / half_life)
     down = F.pow(F.lit(2.0), -F.col("t") / half_life)
     p = g.withColumns({"nt": F.coalesce(F.sum(F.col("n") * up).over(run), F.lit(0.0)) * down, "exposure": F.coalesce(F.sum(up).over(run), F.lit(0.0)) * down, "seen": F.coalesce(F.sum("n").over(run), F.lit(0))})
     any_n = F.when(F.col("category") == ANY, F.col("nt")).otherwise(0.0)
-    here = Window.partitionBy("t", "district")
     p = p.withColumns({
-        "of_district": F.sum(any_n).over(here),
-        "of_city": F.sum(any_n).over(Window.partitionBy("t")),
-        "of_category": F.sum("nt").over(Window.partitionBy("t", "category")),
-        "n_districts": F.sum(F.when(F.col("category") == ANY, 1).otherwise(0)).over(Window.partitionBy("t")),
+        "of_district": F.sum(any_n).over(Window.partitionBy(*per, "t", "district")),
+        "of_city": F.sum(any_n).over(Window.partitionBy(*per, "t")),
+        "of_category": F.sum("nt").over(Window.partitionBy(*per, "t", "category")),
+        "n_districts": F.sum(F.when(F.col("category") == ANY, 1).otherwise(0)).over(Window.partitionBy(*per, "t")),
     })
     share = F.when(F.col("of_city") > 0, F.col("of_district") / F.col("of_city")).otherwise(1.0 / F.col("n_districts"))
     exposure = F.greatest("exposure", F.lit(1e-9))
     typical = F.when(F.col("category") == ANY, F.col("of_city") / F.col("n_districts") / exposure).otherwise(F.col("of_category") * share / exposure)
     days = F.when(F.col("category") == ANY, prior_any).otherwise(prior)
     p = p.withColumns({"a": F.greatest(days * typical + F.col("nt"), F.lit(1e-9)), "b": days + F.col("exposure")})
-    return p.select("district", "category", "day", "t", "j", "n", "seen", "a", "b")
+    return p.select(*per, "district", "category", "day", "t", "j", "n", "seen", "a", "b")
+
+
+def compare(g: DataFrame, half_lives: tuple[float, ...] = (30.0, 60.0, 120.0, 240.0, 480.0), priors: tuple[float, ...] = (15.0, 30.0, 60.0, 90.0, 180.0), days: int = 14, least: int = 120, step: int = 2) -> DataFrame:
+    """Log loss and Brier score of every setting over every ``step``-th origin, all settings in one plan."""
+    spark = g.sparkSession
+    settings = spark.range(1).select(F.explode(F.array(*map(F.lit, half_lives))).alias("half_life")).select("half_life", F.explode(F.array(*map(F.lit, priors))).alias("prior"))
+    per = ("half_life", "prior")
+    x = posterior(g.crossJoin(F.broadcast(settings)), F.col("half_life"), F.col("prior"), PRIOR_ANY, per)
+    ahead = Window.partitionBy(*per, "district", "category").orderBy("j").rowsBetween(0, days - 1)
+    x = x.withColumns({"y": (F.sum("n").over(ahead) > 0).cast("int"), "full": F.count("*").over(ahead) == days}).where(F.col("full") & (F.col("j") >= least) & ((F.col("j") - least) % step == 0) & (F.col("category") != ANY))
+    p = prob_within(F.col("a"), F.col("b"), float(days))
+    q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return x.groupBy(*per).agg(F.count("*").alias("n"), F.round(F.avg(-(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))), 6).alias("log_loss"), F.round(F.avg(F.pow(p - F.col("y"), 2)), 6).alias("brier"))
 
 
 def prob_within(a: Column, b: Column, days: float) -> Column:

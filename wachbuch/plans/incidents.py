@@ -104,6 +104,10 @@ QUERIES = {
     "timing_backtest": lambda s, d: timing.calibration(timing.backtest(timing.shown(post(s, d)))),
     "timing_scores": lambda s, d: timing.proper_scores(post(s, d)),
     "timing_reliability": lambda s, d: timing.reliability(post(s, d)),
+    "timing_models": lambda s, d: timing.compare(time_grid(s, d), (60.0, 120.0), (30.0, 90.0)),
+    "hotspot_check": lambda s, d: hotspot.check(daily(s, d), observed(s, d)),
+    "public_holidays": lambda s, d: panel.holidays(table(s, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()),
+    "condition_days": lambda s, d: stats.conditions(totals(s, d), {"weekend": F.col("is_weekend"), "payday": F.col("is_payday"), "holiday": F.col("range_name").isNotNull()}, ["weekend", "payday"]).select("day", "n_total"),
     "calendar_features": features,
     "feature_totals": totals,
     "corr_fisher": lambda s, d: stats.pearson(totals(s, d), "weekday", "n_total"),
@@ -230,6 +234,18 @@ select cls, n, cast(n_true as bigint) as n_true, round(mean_p, 6) as mean_p, rou
 ys as (select *, case when sum(n) over w > 0 then 1 else 0 end as y, count(*) over w as k from post window w as (partition by district, category order by j rows between current row and 13 following)),
 ps as (select y, round(1 - pow(b / (b + 14), a), 9) as p from ys where k = 14 and j >= 120)
 select case when p < 0.05 then 0 when p < 0.15 then 1 when p < 0.3 then 2 when p < 0.6 then 3 else 4 end as bin, count(*) as n, round(avg(p), 6) as mean_p, cast(sum(y) as bigint) as n_true from ps group by bin""",
+    "timing_models": f"""with {FEED}, {GRID.split("runs as")[0]}
+par as (select * from (values (cast(60.0 as double)), (cast(120.0 as double))) as h(half_life) cross join (values (cast(30.0 as double)), (cast(90.0 as double))) as p(prior)),
+runs as (select *, coalesce(sum(n * pow(2, t / half_life)) over w, 0) * pow(2, -t / half_life) as nt, coalesce(sum(pow(2, t / half_life)) over w, 0) * pow(2, -t / half_life) as exposure
+  from grid cross join par window w as (partition by half_life, prior, district, category order by t rows between unbounded preceding and 1 preceding)),
+shares as (select *, sum(case when category = '_any' then nt else 0 end) over (partition by half_life, prior, t, district) as of_district, sum(case when category = '_any' then nt else 0 end) over (partition by half_life, prior, t) as of_city,
+  sum(nt) over (partition by half_life, prior, t, category) as of_category from runs),
+nd as (select count(distinct district) as k from sfeed),
+post as (select *, greatest(prior * (of_category * (case when of_city > 0 then of_district / of_city else 1.0 / k end) / greatest(exposure, 1e-9)) + nt, 1e-9) as a, prior + exposure as b from shares cross join nd),
+ys as (select *, case when sum(n) over w > 0 then 1 else 0 end as y, count(*) over w as full_days from post where category <> '_any' window w as (partition by half_life, prior, district, category order by j rows between current row and 13 following)),
+ps as (select half_life, prior, y, 1 - pow(b / (b + 14), a) as p from ys where full_days = 14 and j >= 120 and (j - 120) % 2 = 0)
+select half_life, prior, count(*) as n, round(avg(-(y * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))), 6) as log_loss, round(avg(pow(p - y, 2)), 6) as brier from ps group by half_life, prior""",
+    "condition_days": f"{_T} select day, cast(n_total as bigint) as n_total from joined where is_weekend and is_payday",
     "calendar_features": f"{_T} select * from feats",
     "feature_totals": f"{_T} select day, cast(n_total as bigint) as n_total, weekday, is_weekend, is_payday, range_name from joined",
     "corr_fisher": f"{_T}, r as (select count(*) as n, corr(n_total, weekday) as r from joined) select n, round(r, 6) as r, round(tanh(atanh(r) - 1.959964 / sqrt(n - 3)), 6) as low, round(tanh(atanh(r) + 1.959964 / sqrt(n - 3)), 6) as high from r",
