@@ -67,6 +67,10 @@ def test_series_against_brute_force_in_any_order(spark):
     one, two = (sorted(map(str, series.find(x, 500.0, 7).collect())) for x in (df, again))
     assert one == two and one
     assert series.without_followups(df, 30.0).count() <= 120
+    where = {r[0]: r for r in rows}
+    for r in series.find(df, 500.0, 7).collect():
+        far = max(metres(*where[a][3:], *where[b][3:]) for a in r.ids for b in r.ids)
+        assert abs(r.max_spread_m - far) <= 1 + 0.002 * far
 
 
 def test_statistics(spark):

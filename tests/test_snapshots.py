@@ -41,3 +41,9 @@ def test_bitmaps_sparse_and_dense():
         x, y = snapshots.bitmap(a), snapshots.bitmap(b)
         assert set(snapshots.and_not(x, y)) == set(a) - set(b)
         assert set(snapshots.both(x, y)) == set(a) & set(b)
+
+
+def test_a_dictionary_with_one_key(spark):
+    one = snapshots.with_ordinals(snapshots.reduced(spark.createDataFrame([row(1, 1, "9")], SCHEMA)))
+    two = snapshots.with_ordinals(snapshots.reduced(spark.createDataFrame([row(1, 2, "9"), row(2, 2, "3")], SCHEMA)), one)
+    assert {r.key_no: r.ordinal for r in two.collect()} == {9: 0, 3: 1}

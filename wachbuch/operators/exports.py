@@ -75,3 +75,8 @@ def court_list(releases: DataFrame, kept: DataFrame) -> DataFrame:
     Both: id, day, time, title."""
     d = releases.unionByName(kept.join(releases.select("id"), "id", "left_anti"), allowMissingColumns=True)
     return d.orderBy(F.desc_nulls_last("day"), F.desc_nulls_last("time"), F.desc("id"))
+
+
+def court_index(listed: DataFrame) -> DataFrame:
+    """The court list without the texts."""
+    return listed.select(*[c for c in listed.columns if c not in ("text", "narrative")])

@@ -55,7 +55,7 @@ def without_followups(df: DataFrame, metres: float = 30.0) -> DataFrame:
 
 def find(df: DataFrame, metres: float = 1000.0, days: int = 14, least: int = 3) -> DataFrame:
     """One row per series of at least ``least`` incidents: root, category, n, first and last day, span,
-    centroid, largest distance between linked members, and the members' ids."""
+    centroid, largest distance between members (see ``largest_distance``), and the members' ids."""
     pairs = close_pairs(df, metres, days)
     c = components(pairs)
     m = c.join(df, F.col("node") == F.col("id"))
@@ -63,15 +63,12 @@ def find(df: DataFrame, metres: float = 1000.0, days: int = 14, least: int = 3)
         F.count("*").alias("n"), F.min("day").alias("date_start"), F.max("day").alias("date_end"),
         F.round(F.avg("lat"), 5).alias("centroid_lat"), F.round(F.avg("lon"), 5).alias("centroid_lon"), F.array_sort(F.collect_list("id")).alias("ids"),
     ).where(F.col("n") >= least)
-    xy = F.struct("lat", "lon")
-    spread = m.join(g.select("root"), "root").groupBy("root").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
-    del xy
-    box = haversine_m(F.col("a"), F.col("c"), F.col("b"), F.col("d"))
-    return g.join(spread.select("root", F.round(box, 0).cast("int").alias("box_m")), "root").withColumn("span_days", F.datediff("date_end", "date_start"))
+    spread = largest_distance(m.join(g.select("root"), "root").select("root", "lat", "lon"))
+    return g.join(spread, "root").withColumn("span_days", F.datediff("date_end", "date_start"))
 
 
 def largest_distance(members: DataFrame) -> DataFrame:
-    """``root, max_spread_m``: exact largest distance within each series.
+    """``root, max_spread_m``: the largest distance within each series, in one aggregation.
 
     Only pairs of a series' extreme points are compared: per series the farthest point in each of 64
     directions. The farthest pair lies on the hull; what 64 directions miss is below 0.13 %.

@@ -85,7 +85,8 @@ def with_ordinals(keys: DataFrame, dictionary: DataFrame | None = None) -> DataF
     start = 0
     if dictionary is not None:
         known = keys.join(dictionary.select("key_no", "key_page", "ordinal"), ["key_no", "key_page"])
-        start = (dictionary.agg(F.max("ordinal")).first()[0] or -1) + 1
+        highest = dictionary.agg(F.max("ordinal")).first()[0]
+        start = 0 if highest is None else highest + 1
         fresh = keys.join(dictionary.select("key_no", "key_page"), ["key_no", "key_page"], "left_anti")
     else:
         known, fresh = None, keys
@@ -104,7 +105,6 @@ def with_ordinals(keys: DataFrame, dictionary: DataFrame | None = None) -> DataF
 
 def compare(numbered: DataFrame, snaps: list[int], n_cols: int = len(COMPARED)) -> DataFrame:
     """``snapshot_no, pm_no, page_no, change_kind`` for each snapshot against the one before."""
-    order = {s: k for k, s in enumerate(sorted(snaps))}
     numbers = np.array(sorted(snaps), dtype=np.int64)
     out = pa.schema([("snapshot_no", pa.int64()), ("pm_no", pa.int64()), ("page_no", pa.int64()), ("change_kind", pa.string())])
 
@@ -137,7 +137,6 @@ def compare(numbered: DataFrame, snaps: list[int], n_cols: int = len(COMPARED))
                 kind = np.repeat(KINDS, [len(x) for x in parts])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), numbers[k])), pa.array(no[where]), pa.array(page[where]), pa.array(kind)], schema=out)
 
-    assert len(order) == len(numbers)
     return numbered.mapInArrow(chunks, "snapshot_no long, pm_no long, page_no long, change_kind string")
 
 

@@ -66,7 +66,7 @@ def compare(g: DataFrame, half_lives: tuple[float, ...] = (30.0, 60.0, 120.0, 24
     return x.groupBy(*per).agg(F.count("*").alias("n"), F.round(F.avg(-(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))), 6).alias("log_loss"), F.round(F.avg(F.pow(p - F.col("y"), 2)), 6).alias("brier"))
 
 
-def prob_within(a: Column, b: Column, days: float) -> Column:
+def prob_within(a: Column, b: Column, days: float | Column) -> Column:
     """Probability of an event within so many observed days."""
     return 1 - F.pow(b / (b + days), a)
 
@@ -123,11 +123,7 @@ def backtest(post: DataFrame, least: int = 120, quantiles: tuple[float, ...] = Q
     z = x.select("district", "category", F.col("j").alias("at"), F.col("cum").alias("then"))
     said = said.withColumn("at", F.col("j") + F.col("win") - 1).join(z, ["district", "category", "at"])
     keep = ["shown"] if "shown" in post.columns else []
-    return said.select("district", "category", "j", "q", "win", *keep, prob_within_col(F.col("a"), F.col("b"), F.col("win")).alias("said"), (F.col("then") - (F.col("cum") - F.col("n")) > 0).cast("int").alias("came_true"))
-
-
-def prob_within_col(a: Column, b: Column, days: Column) -> Column:
-    return 1 - F.pow(b / (b + days), a)
+    return said.select("district", "category", "j", "q", "win", *keep, prob_within(F.col("a"), F.col("b"), F.col("win")).alias("said"), (F.col("then") - (F.col("cum") - F.col("n")) > 0).cast("int").alias("came_true"))
 
 
 def calibration(tested: DataFrame) -> DataFrame:

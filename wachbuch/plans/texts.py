@@ -109,6 +109,8 @@ QUERIES = {
     "court_stages": lambda s, d: table(s, d, "court_matches").select("match_id", F.explode("releases").alias("r")).select("match_id", "r.pm_id", rules.court_stage(F.col("r.title")).alias("stage")),
     "case_events": lambda s, d: courts.cases(court_rows(s, d)).select("js_key", "category", "outcome_stage", "district", F.size("events").alias("n_events"), F.size("releases").alias("n_releases")),
     "case_matches": lambda s, d: courts.match(courts.cases(court_rows(s, d)), incident_rows(s, d).select(F.col("key").alias("pm_id"), "category", "day", "district", "ort_raw", "other_city")).select("js_key", "event_no", "confidence", "category", F.size("matched_pm_ids").alias("n")),
+    "case_reports": lambda s, d: (lambda i: courts.reports(courts.match(courts.cases(court_rows(s, d)), i), i.withColumn("key", F.col("pm_id"))).select("js_key", F.size("keys").alias("n")))(incident_rows(s, d).select(F.col("key").alias("pm_id"), "category", "day", "district", "ort_raw", "other_city")),
+    "series_spread": lambda s, d: series.find(points(s, d), 400.0, 14, 3).select("root", "n", "centroid_lat", "centroid_lon", "max_spread_m"),
     "tokens_overlap_match": lambda s, d: (lambda t: t.join(t.withColumnRenamed("match_id", "b"), "token").where("match_id < b").groupBy("match_id", "b").agg(F.count("*").alias("n")).where("n >= 1"))(table(s, d, "court_matches").select("match_id", F.explode(rules.street_tokens(F.col("case_text"))).alias("token"))),
     "interval_match": interval_match,
     "range_dimension_join": lambda s, d: feed(s, d).join(F.broadcast(s.createDataFrame([(1, "a", "1996-01-01", "1996-06-30"), (2, "b", "1996-06-01", "1997-12-31")], "ord int, name string, a string, b string").select("ord", "name", F.to_date("a").alias("a"), F.to_date("b").alias("b"))), F.expr("day between a and b")).groupBy("id").agg(F.min_by("name", "ord").alias("name")),
