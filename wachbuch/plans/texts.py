@@ -87,7 +87,7 @@ def followups(s: SparkSession, d: str) -> DataFrame:
 
 
 def clusters(s: SparkSession, d: str) -> DataFrame:
-    return series.find(points(s, d), 300.0, 7, 3).select("root", "category", "n", "date_start", "date_end", "span_days")
+    return series.find(points(s, d), 1000.0, 14, 3).select("root", "category", "n", "date_start", "date_end", "span_days")
 
 
 def _press_cols(*cols):
@@ -110,7 +110,7 @@ QUERIES = {
     "case_events": lambda s, d: courts.cases(court_rows(s, d)).select("js_key", "category", "outcome_stage", "district", F.size("events").alias("n_events"), F.size("releases").alias("n_releases")),
     "case_matches": lambda s, d: courts.match(courts.cases(court_rows(s, d)), incident_rows(s, d).select(F.col("key").alias("pm_id"), "category", "day", "district", "ort_raw", "other_city")).select("js_key", "event_no", "confidence", "category", F.size("matched_pm_ids").alias("n")),
     "case_reports": lambda s, d: (lambda i: courts.reports(courts.match(courts.cases(court_rows(s, d)), i), i.withColumn("key", F.col("pm_id"))).select("js_key", F.size("keys").alias("n")))(incident_rows(s, d).select(F.col("key").alias("pm_id"), "category", "day", "district", "ort_raw", "other_city")),
-    "series_spread": lambda s, d: series.find(points(s, d), 400.0, 14, 3).select("root", "n", "centroid_lat", "centroid_lon", "max_spread_m"),
+    "series_spread": lambda s, d: series.find(points(s, d), 1000.0, 14, 3).select("root", "n", "centroid_lat", "centroid_lon", "max_spread_m"),
     "tokens_overlap_match": lambda s, d: (lambda t: t.join(t.withColumnRenamed("match_id", "b"), "token").where("match_id < b").groupBy("match_id", "b").agg(F.count("*").alias("n")).where("n >= 1"))(table(s, d, "court_matches").select("match_id", F.explode(rules.street_tokens(F.col("case_text"))).alias("token"))),
     "interval_match": interval_match,
     "range_dimension_join": lambda s, d: feed(s, d).join(F.broadcast(s.createDataFrame([(1, "a", "1996-01-01", "1996-06-30"), (2, "b", "1996-06-01", "1997-12-31")], "ord int, name string, a string, b string").select("ord", "name", F.to_date("a").alias("a"), F.to_date("b").alias("b"))), F.expr("day between a and b")).groupBy("id").agg(F.min_by("name", "ord").alias("name")),
@@ -179,7 +179,7 @@ select rec_id, case when pub is not null and date_diff('day', seen, pub) between
     "haversine_pairs": f"select a.forecast_id as a, b.forecast_id as b, round({_HAV.format(a='a.lat', b='a.lon', c='b.lat', d='b.lon')}, 3) as metres from forecast a join forecast b on a.area_no = b.area_no and a.forecast_id < b.forecast_id",
     "tile_math": "select forecast_id, cast(floor((lon + 180) / 360 * 8192) as integer) as x, cast(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 8192) as integer) as y from forecast",
     "followup_dedupe": f"{_components(0, 400.0)} select id, day from pts where id not in (select node from comp where node <> root)",
-    "series_clusters": f"{_components(7, 300.0)} select root, category, count(*) as n, min(day) as date_start, max(day) as date_end, date_diff('day', min(day), max(day)) as span_days from comp join pts on node = id group by root, category having count(*) >= 3",
+    "series_clusters": f"{_components(14, 1000.0)} select root, category, count(*) as n, min(day) as date_start, max(day) as date_end, date_diff('day', min(day), max(day)) as span_days from comp join pts on node = id group by root, category having count(*) >= 3",
     "json_props": "select event_type, cast(sum(cast(props->>'$.k' as integer)) as bigint) as k_sum, count(*) as n from events group by event_type",
     "rollup_any": f"{_FEED} select district, category, count(*) as n from feed group by all union all select district, '_any', count(*) from feed group by district",
 }
