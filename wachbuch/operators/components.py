@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 from wachbuch.session import cut
 
 
+def _sizeless(df: DataFrame) -> DataFrame:
+    """``df`` without the planner's guess of its size: a checkpoint keeps the guess of the plan that it cuts, and
+    guesses of joins are products, so their digits would double with every round."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), spark)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, root)``: each node with the smallest node of its component."""
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
@@ -24,11 +31,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     labels = cut(e.groupBy("x").agg(F.least(F.min("y"), F.min("x")).alias("root")).withColumnRenamed("x", "node"))
     for _ in range(max_rounds):
         near = e.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("via"))
+        # what a node hears, its root hears too: else a root waits until labels have walked to it edge by edge
+        heard = labels.join(near, "node").select(F.explode(F.array_distinct(F.array("node", "root"))).alias("node"), "via")
+        near = heard.groupBy("node").agg(F.min("via").alias("via"))
         new = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("via", "root")).alias("next"), "root")
         # pointer jumping: the label of my label
         hop = new.select(F.col("node").alias("next"), F.col("next").alias("far"))
         new = new.join(hop, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"), "root")
-        new = cut(new)
+        new = _sizeless(cut(new))
         changed = new.where("next <> root").limit(1).count()
         labels = new.select("node", F.col("next").alias("root"))
         if not changed:
