@@ -45,3 +45,10 @@ def test_components_of_a_long_chain_in_few_rounds(spark):
     edges = spark.createDataFrame(list(zip(x, x[1:])), "a long, b long")
     got = components(edges, max_rounds=16).collect()
     assert {r.node for r in got} == set(x) and {r.root for r in got} == {0}
+
+
+def test_posterior_of_every_day(spark, data):
+    got = incidents.QUERIES["timing_posterior"](spark, data)
+    days = {r.day for r in incidents.time_grid(spark, data).select("day").distinct().collect()}
+    series = {(r.district, r.category) for r in got.select("district", "category").distinct().collect()}
+    assert {(r.district, r.category, r.day) for r in got.collect()} == {(*s, x) for s in series for x in days}

@@ -97,7 +97,7 @@ QUERIES = {
     "forecast_ranking": forecast,
     "marked_as_of": lambda s, d: hotspot.marked(feed(s, d), panel.city_totals(daily(s, d)).where(F.dayofmonth("day") == 1)),
     "known_by_day": lambda s, d: hotspot.known_by(feed(s, d), panel.city_totals(daily(s, d)).where(F.dayofmonth("day") == 15)).select("day", "district", "n_known", F.round("score", 6).alias("score")),
-    "timing_posterior": lambda s, d: post(s, d).where("j % 50 = 0").select("district", "category", "day", "seen", F.round("a", 6).alias("a"), F.round("b", 6).alias("b")),
+    "timing_posterior": lambda s, d: post(s, d).select("district", "category", "day", "seen", F.round("a", 6).alias("a"), F.round("b", 6).alias("b")),
     "timing_windows": lambda s, d: last_day(timing.windows(post(s, d))),
     "top_offenses": lambda s, d: last_day(timing.top_offenses(post(s, d))).select("district", "category", "day", "seen", "rank"),
     "timing_shown": lambda s, d: last_day(timing.shown(post(s, d))).select("district", "category", "day", "seen", "shown"),
