@@ -352,7 +352,8 @@ class Repairer:
         return out
 
     def best_word(self, w: str, as_written: str) -> str | None:
-        own = self.counts.get(as_written, 0)
+        # a word that mostly stands with a hyphen behind it (first of two joined words) is a word all the same
+        own = self.counts.get(as_written, 0) + self.counts.get(as_written + "-", 0)
         got = [(s, v) for s, v in candidates(w, self.chars) if v != w and self.outweighs(self.weight(v, as_written, w), own)]
         if not got:
             return None
