@@ -42,12 +42,13 @@ class Perceptron:
             for i in order:
                 step += 1
                 fs, y = data[i]
-                s = dict.fromkeys(classes, 0.0)
+                # only classes that some feature speaks of; the others stand at 0
+                s: dict[str, float] = {}
                 for f in fs:
                     if f in w:
                         for c, v in w[f].items():
-                            s[c] += v
-                guess = max(classes, key=lambda c: s[c])
+                            s[c] = s.get(c, 0.0) + v
+                guess = max(s, key=s.__getitem__) if s else classes[0]
                 if guess != y:
                     for f in fs:
                         add(f, y, 1.0)
