@@ -86,14 +86,20 @@ def test_statistics(spark):
         stats.conditions(df, {"a": F.lit(True)}, ["b"])
 
 
-def test_archive_never_forgets():
-    old = {"pm_id": "1", "title": "T", "publish_date": "1.1.2026", "ort_raw": "Bremen", "zeit_raw": None, "text": "x" * 100, "source_url": "u"}
-    short = old | {"text": "x" * 10, "ort_raw": None}
-    other = old | {"title": "U", "text": "ganz anders, mit anderen Worten und Zahlen 123"}
-    assert archive.fold([old, short]) == {"1": old}
-    held = archive.fold([old, other])
-    assert len(held) == 2 and set(held) > {"1"} and next(k for k in held if k != "1").startswith("1#")
-    assert archive.similar("a  b", "a b") and not archive.similar("", "x") and archive.similar("abcdefghij", "abcdefghiX")
+def test_archive_never_forgets(spark):
+    cols = ", ".join(f"{f} string" for f in archive.FIELDS) + ", version string, pos long"
+    old = ("1", "T", "1.1.2026", "Bremen", None, "x" * 100, "u")
+    short = ("1", "T", "1.1.2026", None, None, "x" * 10, "u")
+    other = ("1", "U", "1.1.2026", "Bremen", None, "ganz anders, mit anderen Worten und Zahlen 123", "u")
+    nothing = (None, None, None, None, None, None, None)
+    rows = [(*r, v, 0) for v, r in zip("1234567", (old, short, other, nothing, old, (None, None, "2.1.2026", None, None, "eins zwei drei", "u"), nothing), strict=True)]
+    got = {r.key: tuple(r)[1:] for r in archive.merge(spark.createDataFrame(rows, cols)).collect()}
+    assert got["1"] == old and len(got) == 4 and sum(k.startswith("1#") for k in got) == 1 and sum(k.startswith("no-id:") for k in got) == 2
+    assert archive.merge(spark.createDataFrame([], cols)).count() == 0
+
+
+def test_share_of_text_found_again():
+    assert archive.found_again("", "x") == 0 and archive.found_again("abcdefghij", "abcdefghiX") == 0.9 == archive.found_again("abcdefghiX and more", "abcdefghij")
 
 
 def test_merge_and_stream_merge(spark, tmp_path):

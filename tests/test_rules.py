@@ -85,16 +85,21 @@ def test_days_repaired_by_neighbours(spark):
     assert got["18126"] == "2026-06-14"
 
 
-def test_reflow():
-    assert courts.reflowed("Der Prozess in Bre-\nmen geht\nweiter") == "Der Prozess in Bremen geht weiter"
-    assert courts.reflowed("ein 30-\njähriger Mann\n\nEin-\nund Ausgang") == "ein 30-jähriger Mann\n\nEin- und Ausgang"
-    assert courts.reflowed("Termine:\nMontag, 1.2.\nDienstag, 2.2.") == "Termine:\nMontag, 1.2.\nDienstag, 2.2."
-    assert courts.reflowed(None) == ""
+def one(spark, value, expression):
+    return spark.createDataFrame([(value,)], "t string").select(expression(F.col("t")).alias("x")).first().x
 
 
-def test_events_of_a_charge():
+def test_reflow(spark):
+    assert one(spark, "Der Prozess in Bre-\nmen geht\nweiter", courts.reflow) == "Der Prozess in Bremen geht weiter"
+    assert one(spark, "ein 30-\njähriger Mann\n\nEin-\nund Ausgang", courts.reflow) == "ein 30-jähriger Mann\n\nEin- und Ausgang"
+    assert one(spark, "Termine:\nMontag, 1.2.\nDienstag, 2.2.", courts.reflow) == "Termine:\nMontag, 1.2.\nDienstag, 2.2."
+    assert one(spark, "\n Er geht.\n Danach kommt eine viel längere Zeile - \n und das Ost-West-\n gespräch", courts.reflow) == "Er geht.\nDanach kommt eine viel längere Zeile - und das Ost-West-gespräch"
+    assert one(spark, None, courts.reflow) == "" == one(spark, " \n\n", courts.reflow)
+
+
+def test_events_of_a_charge(spark):
     text = "Tatvorwurf: Am 03.05.2025 in der Kirchhofstraße, " + "x" * 300 + " am 04.06.2025 am Mittelweg."
-    got = courts.events_of(text)
+    got = one(spark, text, courts.events)
     assert [(e["date_min"], e["streets"]) for e in got] == [("2025-05-03", ["kirchhofstraße"]), ("2025-06-04", ["mittelweg"])]
-    assert courts.events_of("im Februar 2024")[0]["date_max"] == "2024-02-29"
-    assert courts.events_of(None) == []
+    assert one(spark, "im Februar 2024", courts.events)[0]["date_max"] == "2024-02-29"
+    assert one(spark, None, courts.events) == [] == one(spark, "im Sommer 2024", courts.events)
