@@ -1,19 +1,22 @@
 """Which address records denote the same house.
 
-1. A place line is cut into components: city, street as written, house number, letter.
+1. A place line is cut into components: city, street as written, house number, letter. A line that names no city
+   belongs to the one that its quarter or district is elsewhere written with; one whose place names are never written with a
+   known city belongs to the place it names first.
 2. Each street spelling is expanded into its plausible normalised forms: every reading of an
    abbreviated ending, and, for slips of the pen, each form with one letter left out. Two spellings
    that are one insertion, deletion, substitution or swap apart share such a form. An equi-join on
-   hashed forms finds a rare spelling's dominant neighbour in the same city.
+   hashed forms finds a rare form's dominant neighbour.
 3. Each distinct address is expanded again, into its combinations of city, street form, number and
    letter; the combinations are hashed and exploded, and an equi-join on any shared hash brings the
-   addresses together. Pairs whose city, house number or letter conflict are rejected, as are those
-   whose resolved street differs (which also undoes hash collisions).
+   addresses together. An abbreviation with several readings stands for the one that others write in
+   full for the same house; where none does, for the one most often written. City, number and letter are part of
+   each hash, so conflicting house numbers never meet.
 4. Pairs of addresses are expanded to pairs of records last, with crowded houses split into parts.
 
-Work is done on distinct street spellings and distinct addresses, so a line that a third of all
+Work is done on distinct place names, street spellings and addresses, so a line that a third of all
 records repeat is handled once. Defined results: NULL or empty lines, lines without a house number and
-numbered roads that are no streets name no house and give no rows.
+numbered roads that are no streets name no house and give no rows. Repeated records are paired each on their own.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ ENDINGS = {
 }
 #: Roads that are numbered themselves.
 NUMBERED = ("zubringer", "autobahn", "bundesautobahn", "bundestrase", "landestrase", "kreistrase", "a", "b", "l", "k", "bab")
+#: Words of a line that are no place names.
+NO_PLACE = ("bremen", "bemen", "bremerhaven", "stadt", "haus", "hausnummer", "ortsteil", "stadtteil")
 #: A spelling is a slip of another if that one is this many times as frequent.
 DOMINANT = 3
 
@@ -42,7 +47,7 @@ _HOUSE = r"(?:^|[,/)])\s*([^,/()0-9]*\p{L}\.?)[\s-]*(?:\b(?:nr\.?|no\.?|haus|hau
 def parse(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """``id, city, street, number, letter`` of the lines that name a house."""
     s = plain(F.col(column))
-    d = df.select(F.col(id_col).cast("long").alias("id"), s.alias("s"))
+    d = df.select(F.col(id_col).cast("long").alias("id"), s.alias("s")).where("s is not null")
     d = d.select("id", "s", *[F.regexp_extract("s", _HOUSE, k).alias(n) for k, n in ((1, "street"), (2, "number"), (3, "letter"))])
     # what may stand before the street in the same component: district and quarter, or the city
     street = F.regexp_replace("street", r"^.*\bot \S+ ", "")
@@ -50,9 +55,21 @@ def parse(df: DataFrame, id_col: str, column: str) -> DataFrame:
     street = F.regexp_replace(street, r"\s+(?:nr\.?|no\.?|haus|hausnr\.?|hausnummer)$", "")
     # a final dot marks an abbreviation, all other joints are a matter of taste
     dotted = F.regexp_replace(F.regexp_replace(street, r"[^\p{L}.]", ""), r"\.(?=.)", "")
-    city = F.when(F.col("s").rlike(r"\bb\p{L}{4,8}haven(?!er)"), "bremerhaven").otherwise("bremen")
-    d = d.where("number <> ''").select("id", city.alias("city"), dotted.alias("street"), F.col("number").cast("int").alias("number"), "letter")
-    return d.where(F.length(F.replace("street", F.lit("."), F.lit(""))) > 1)
+    city = F.when(F.col("s").rlike(r"\bb\p{L}{4,8}haven(?!er)"), "bremerhaven").when(F.col("s").rlike(r"\b(?:bremen|bemen|hb)\b"), "bremen")
+    names = F.array_distinct(F.filter(F.regexp_extract_all(F.replace("s", "street", F.lit(" ")), F.lit(r"(\p{L}{3,})"), F.lit(1)), lambda x: ~x.isin(*NO_PLACE)))
+    d = d.where("number <> ''").select("id", city.alias("city"), names.alias("names"), dotted.alias("street"), F.col("number").cast("int").alias("number"), "letter")
+    return placed(cut(d.where(F.length(F.replace("street", F.lit("."), F.lit(""))) > 1)))
+
+
+def placed(d: DataFrame) -> DataFrame:
+    """Gives lines without a city the one that their place names are most often written with, else their first name."""
+    said = d.where("city is not null").groupBy("city", "names").agg(F.count("*").alias("n"))
+    usual = said.select("city", "n", F.explode("names").alias("name")).groupBy("name", "city").agg(F.sum("n").alias("n"))
+    usual = usual.groupBy("name").agg(F.max(F.struct("n", "city")).alias("u"))
+    open_ = d.where("city is null").select("names").distinct()
+    told = open_.select("names", F.explode("names").alias("name")).join(usual, "name").groupBy("names").agg(F.max("u").alias("u")).select("names", F.col("u.city").alias("usual"))
+    out = d.where("city is null").join(told, "names", "left").withColumn("city", F.coalesce("usual", F.try_element_at("names", F.lit(1)), F.lit("")))
+    return d.where("city is not null").drop("names").unionByName(out.drop("names", "usual"))
 
 
 def readings(street: Column) -> Column:
@@ -75,27 +92,27 @@ def slips(form: Column) -> Column:
 
 
 def resolve(addresses: DataFrame) -> DataFrame:
-    """``city, street, canon``: each street spelling with the form that it most likely stands for.
+    """``city, street, reading, canon, w``: each reading of a street spelling with the form that it most likely stands for, and
+    how many records write that.
 
-    ``addresses``: city, street and n, the number of records. Among a spelling's readings the one that
-    most records write counts; a rare form gives way to a neighbour that is ``DOMINANT`` times as
-    frequent, one slip away.
+    ``addresses``: city, street and n, the number of records. A rare form gives way to a neighbour that
+    is ``DOMINANT`` times as frequent, one slip away.
     """
     spelled = addresses.groupBy("city", "street").agg(F.sum("n").alias("n"))
-    read = spelled.withColumn("forms", readings(F.col("street")))
+    read = cut(spelled.withColumn("readings", readings(F.col("street"))))
     # also with transcribed umlauts and double letters as one letter: a slip may stand in either form
-    read = cut(read.withColumn("full", F.size("forms") == 1).withColumn("forms", F.array_distinct(F.concat("forms", F.transform("forms", collapse)))))
-    forms = read.select("city", "street", "n", "full", F.explode("forms").alias("form"))
+    forms = read.select("city", "street", "n", (F.size("readings") == 1).alias("full"), F.explode("readings").alias("reading"))
+    forms = forms.withColumn("form", F.explode(F.array_distinct(F.array("reading", collapse(F.col("reading"))))))
     # how often a form is written is the same in every city of the archive: names recur
     weight = forms.where("full").groupBy("form").agg(F.sum("n").alias("w"))
-    every = forms.select("form").distinct().join(weight, "form", "left").withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
+    every = cut(forms.select("form").distinct().join(weight, "form", "left").withColumn("w", F.coalesce("w", F.lit(0).cast("long"))))
     keyed = every.where(F.length("form") > 4).select("form", "w", F.explode(F.array_distinct(F.transform(slips(F.col("form")), lambda x: F.xxhash64(x)))).alias("key"))
     best = keyed.groupBy("key").agg(F.max(F.struct("w", "form")).alias("top"))
     near = keyed.join(best, "key").where(F.col("top.w") >= F.greatest(F.col("w") * DOMINANT, F.lit(2)))
     near = near.groupBy("form").agg(F.max("top").alias("top")).select("form", F.col("top.form").alias("canon"), F.col("top.w").alias("cw"))
-    out = forms.join(every, "form").join(near, "form", "left")
-    choice = F.struct(F.coalesce("cw", "w").alias("w"), collapse(F.coalesce("canon", "form")).alias("canon"))
-    return out.groupBy("city", "street").agg(F.max(choice).alias("c")).select("city", "street", F.col("c.canon").alias("canon"))
+    canon = every.join(near, "form", "left").select("form", F.coalesce("cw", "w").alias("w"), collapse(F.coalesce("canon", "form")).alias("canon"))
+    out = forms.join(canon, "form").groupBy("city", "street", "reading").agg(F.max(F.struct("w", "canon")).alias("c"))
+    return out.select("city", "street", "reading", "c.canon", "c.w")
 
 
 def same_house(df: DataFrame, id_col: str = "rec_id", column: str = "ort_raw") -> DataFrame:
@@ -103,16 +120,14 @@ def same_house(df: DataFrame, id_col: str = "rec_id", column: str = "ort_raw") -
     # read several times below: parsed once, and the planner needn't unfold the parsing anew each time
     rows = cut(parse(df, id_col, column))
     addresses = rows.groupBy("city", "street", "number", "letter").agg(F.count("*").alias("n"))
-    canon = cut(resolve(addresses))
-    known = addresses.drop("n").join(canon, ["city", "street"]).where(~F.col("canon").isin(*NUMBERED))
-    # component combinations: every reading of the spelling, and what it was resolved to
-    forms = F.array_distinct(F.concat(F.array("canon"), F.transform(readings(F.col("street")), collapse)))
-    combos = known.withColumn("form", F.explode(forms)).withColumn("key", F.xxhash64("city", "form", "number", "letter"))
-    # any shared hash; addresses that share one meet at the smallest of them instead of pairwise
-    address = F.struct("canon", "city", "street", "number", "letter")
-    meet = combos.groupBy("key").agg(F.min(address).alias("hub"))
-    met = combos.join(meet, "key").where((F.col("hub.city") == F.col("city")) & (F.col("hub.number") == F.col("number")) & (F.col("hub.letter") == F.col("letter")) & (F.col("hub.canon") == F.col("canon")))
-    house = met.groupBy("city", "street", "number", "letter").agg(F.min(F.xxhash64("hub.city", "hub.canon", "hub.number", "hub.letter")).alias("house"))
-    members = rows.join(house, ["city", "street", "number", "letter"]).select("house", "id")
-    pairs = split_join(members.withColumnRenamed("id", "rec_id_a"), members.withColumnRenamed("id", "rec_id_b"), ["house"])
-    return pairs.where("rec_id_a < rec_id_b").select("rec_id_a", "rec_id_b")
+    options = cut(resolve(addresses).where(~F.col("canon").isin(*NUMBERED)))
+    several = options.groupBy("city", "street").agg((F.count("*") > 1).alias("several"))
+    combos = addresses.join(options.join(several, ["city", "street"]), ["city", "street"]).withColumn("key", F.xxhash64("city", "canon", "number", "letter"))
+    # any shared hash: what others write in full for the same house
+    written = combos.where("not several").groupBy("key").agg(F.sum("n").alias("others"))
+    chosen = combos.join(written, "key", "left").groupBy("city", "street", "number", "letter").agg(F.max(F.struct(F.coalesce("others", F.lit(0).cast("long")).alias("others"), "w", "canon")).alias("c"))
+    house = chosen.select("city", "street", "number", "letter", F.xxhash64("city", "c.canon", "number", "letter").alias("house"), "c.canon")
+    members = rows.join(house, ["city", "street", "number", "letter"]).select("house", F.struct("city", "canon", "number", "letter").alias("at"), "id")
+    pairs = split_join(members.select("house", F.col("id").alias("rec_id_a"), F.col("at").alias("at_a")), members.select("house", F.col("id").alias("rec_id_b"), "at"), ["house"])
+    # a shared hash must be a shared address
+    return pairs.where("rec_id_a < rec_id_b and at_a = at").select("rec_id_a", "rec_id_b")
