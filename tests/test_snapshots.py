@@ -47,3 +47,23 @@ def test_a_dictionary_with_one_key(spark):
     one = snapshots.with_ordinals(snapshots.reduced(spark.createDataFrame([row(1, 1, "9")], SCHEMA)))
     two = snapshots.with_ordinals(snapshots.reduced(spark.createDataFrame([row(1, 2, "9"), row(2, 2, "3")], SCHEMA)), one)
     assert {r.key_no: r.ordinal for r in two.collect()} == {9: 0, 3: 1}
+
+
+def test_a_later_run_goes_on_with_the_stored_numbers(spark, tmp_path):
+    place = str(tmp_path / "ordinals")
+    first, second = [row(1, 1, "1"), row(2, 1, "5")], [row(3, 2, "1", text="z"), row(4, 2, "3")]
+    assert found(spark, first, dictionary=place) == [] and snapshots.generation(spark, place) == 1
+    assert found(spark, first + second, dictionary=place) == [(2, 1, 7, "changed"), (2, 3, 7, "added"), (2, 5, 7, "removed")]
+    stored = [{r.key_no: r.ordinal for r in spark.read.parquet(f"{place}/generation={g}").collect()} for g in (1, 2)]
+    assert stored[1] == stored[0] | {3: 2}
+    # a delivery without some of the keys keeps their numbers
+    assert found(spark, second, dictionary=place) == [] and {r.key_no for r in spark.read.parquet(f"{place}/generation=3").collect()} == {1, 3, 5}
+
+
+def test_chunks_over_batches_and_partitions(spark):
+    n = snapshots.CHUNK + 500
+    old = spark.range(1, n).selectExpr("id as snap_row_id", "1 as snapshot_no", "id", "case when id % 7 = 0 then 'a' else 'b' end as title")
+    new = spark.range(3, n + 2).selectExpr("id as snap_row_id", "2 as snapshot_no", "id", "case when id % 14 = 0 then 'c' when id % 7 = 0 then 'a' else 'b' end as title")
+    rows = old.unionByName(new).selectExpr("snap_row_id", "snapshot_no", "timestamp_ntz'2026-01-01' as delivered_at", "cast(id as string) as pm_id", "'https://a.example/p-7' as source_url", "title", "'d' as publish_date", "'o' as ort_raw", "'z' as zeit_raw", "'t' as text")
+    got = {r.change_kind: r["count"] for r in snapshots.changes(rows).groupBy("change_kind").count().collect()}
+    assert got == {"added": 2, "removed": 2, "changed": sum(1 for k in range(3, n) if k % 14 == 0)}

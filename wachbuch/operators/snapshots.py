@@ -4,10 +4,12 @@
    rows of a key in one snapshot the one delivered last counts (ties: the largest row id).
 2. Keys get persistent ordinals: a dictionary handed in keeps its numbers, new keys are appended
    after them in sorted order, numbered by range partition (only one count per partition is collected).
+   The dictionary is written to a table, which the next run over further snapshots reads and goes on with.
 3. Ordinals are cut into chunks. Per chunk and snapshot there is a compressed bitmap of the ordinals
    present (sorted 16-bit positions while sparse, packed words when dense) and per column an
    ordinal-aligned vector of hashes. AND-NOT of the bitmaps of two snapshots gives additions and
-   removals; where both have a bit, differing vectors are changes.
+   removals; where both have a bit, differing vectors are changes. A chunk whose keys lie in several partitions
+   is compared in parts: bitmaps of disjoint keys give disjoint results.
 
 After the shuffle on the key everything is partition-local. A page may hold a third of all rows:
 the key includes the release number, so its rows spread over all partitions.
@@ -19,15 +21,16 @@ once. An empty table gives no rows. A snapshot is compared with the one with the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wachbuch.functions.text import SPACING, page_number, release_number
-from wachbuch.session import cut, width
+from wachbuch.functions.text import page_number, release_number, squeeze
+from wachbuch.session import cut, shared_folder, width
 
 COMPARED = ("title", "publish_date", "ort_raw", "zeit_raw", "text")
 CHUNK = 1 << 13
@@ -64,8 +67,7 @@ def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def reduced(rows: DataFrame, compared: tuple[str, ...] = COMPARED) -> DataFrame:
     """One row per key: ``key_no, key_page, versions`` (array of snapshot number and hashes)."""
     def vector(c: str):
-        s = F.regexp_replace(F.col(c).cast("string"), SPACING, " ")
-        s = F.nullif(F.trim(s), F.lit(""))
+        s = F.nullif(squeeze(F.col(c).cast("string")), F.lit(""))
         return F.when(s.isNotNull(), F.xxhash64(s)).otherwise(F.lit(0).cast("long")).alias(c)
 
     d = rows.select(
@@ -109,39 +111,79 @@ def compare(numbered: DataFrame, snaps: list[int], n_cols: int = len(COMPARED))
     out = pa.schema([("snapshot_no", pa.int64()), ("pm_no", pa.int64()), ("page_no", pa.int64()), ("change_kind", pa.string())])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for lo in range(0, big.num_rows, CHUNK):
-                yield from one(big.slice(lo, CHUNK))
-
-    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        no, page = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key_no", "key_page"))
+        """Rows come in order of their ordinals; a chunk may go on in the next batch, and holds ``CHUNK`` rows at most."""
+        held: list[pa.RecordBatch] = []
+        number = -1
+        for b in batches:
+            chunk = b.column("ordinal").to_numpy(zero_copy_only=False) // CHUNK
+            edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1), b.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if chunk[lo] != number and held:
+                    yield from one(held)
+                    held = []
+                number = chunk[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from one(held)
+
+    def one(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        place = b.column("ordinal").to_numpy(zero_copy_only=False) % CHUNK
+        no, page = np.zeros(CHUNK, np.int64), np.zeros(CHUNK, np.int64)
+        no[place], page[place] = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key_no", "key_page"))
         lists = b.column("versions")
         flat = lists.flatten()
-        at = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        at = np.repeat(place, np.diff(lists.offsets.to_numpy()))
         snap = flat.field("snap").to_numpy(zero_copy_only=False)
         cols = [flat.field(f"c{k}").to_numpy(zero_copy_only=False) for k in range(n_cols)]
         maps, vectors = [], []
         for s in numbers:
             here = snap == s
             maps.append(bitmap(at[here]))
-            vec = np.zeros((n_cols, b.num_rows), np.int64)
+            vec = np.zeros((n_cols, CHUNK), np.int64)
             for k in range(n_cols):
                 vec[k, at[here]] = cols[k][here]
             vectors.append(vec)
         for k in range(1, len(numbers)):
             old, new = maps[k - 1], maps[k]
             common = both(old, new)
-            parts = [and_not(new, old), and_not(old, new), common[(vectors[k - 1][:, common] != vectors[k][:, common]).any(axis=0)]]
-            where = np.concatenate(parts).astype(np.int64)
+            found = [and_not(new, old), and_not(old, new), common[(vectors[k - 1][:, common] != vectors[k][:, common]).any(axis=0)]]
+            where = np.concatenate(found).astype(np.int64)
             if len(where):
-                kind = np.repeat(KINDS, [len(x) for x in parts])
+                kind = np.repeat(KINDS, [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), numbers[k])), pa.array(no[where]), pa.array(page[where]), pa.array(kind)], schema=out)
 
-    return numbered.mapInArrow(chunks, "snapshot_no long, pm_no long, page_no long, change_kind string")
+    # keys lie in ranges of their ordinals already; sorting them there needs no shuffle
+    return numbered.sortWithinPartitions("ordinal").mapInArrow(chunks, "snapshot_no long, pm_no long, page_no long, change_kind string")
+
 
+def changes(rows: DataFrame, dictionary: str | None = None) -> DataFrame:
+    """p6_found. The distinct snapshot numbers are collected: one value per delivery of the archive.
 
-def changes(rows: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """p6_found. The distinct snapshot numbers are collected: one value per delivery of the archive."""
+    ``dictionary``: where the table of ordinals lies. What is there keeps its numbers, the state after this run is
+    written beside it (``generation=n``). Without it a new table is begun in the shared folder.
+    """
+    spark = rows.sparkSession
     snaps = [r[0] for r in rows.select(F.col("snapshot_no").cast("long")).where("snapshot_no is not null").distinct().collect()]
-    numbered = with_ordinals(reduced(rows), dictionary)
+    place = dictionary or f"{shared_folder(spark)}/ordinals-{uuid.uuid4().hex}"
+    before = generation(spark, place)
+    keys = reduced(rows)
+    known = spark.read.parquet(f"{place}/generation={before}") if before else None
+    numbered = cut(with_ordinals(keys, known))
+    fresh = numbered.select("key_no", "key_page", "ordinal")
+    # numbers of keys that this delivery lacks are kept
+    state = fresh if known is None else fresh.unionByName(known.join(fresh.select("key_no", "key_page"), ["key_no", "key_page"], "left_anti").select("key_no", "key_page", "ordinal"))
+    state.write.mode("overwrite").parquet(f"{place}/generation={before + 1}")
     return compare(numbered, snaps)
+
+
+def generation(spark: SparkSession, place: str) -> int:
+    """The newest complete generation of a dictionary; 0 if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    n = 0
+    while fs.exists(path(f"{place}/generation={n + 1}/_SUCCESS")):
+        n += 1
+    return n

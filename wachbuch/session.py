@@ -24,17 +24,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (local runs, tests) a temporary folder is chosen.
+    Only with a local master, where every executor sees the same disk, a temporary folder is chosen if none is named.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if (set_ := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return set_.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="wachbuch-")
+    return _LOCAL["folder"]
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wachbuch-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

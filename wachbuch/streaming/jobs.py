@@ -7,7 +7,6 @@ driver goes on where the last batch ended.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,15 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wachbuch.operators import archive
+from wachbuch.session import shared_folder
 
 LATEST = "90 days"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one where none is named."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wachbuch-stream-")
-
-
 def read(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet table as a stream of its files; ``path`` may also name a single file."""
     r = spark.readStream.schema(schema)
