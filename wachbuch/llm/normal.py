@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wachbuch.functions.text import squeeze
+from wachbuch.functions.text import let, squeeze
 
 #: Letters whose UTF-8 bytes were read as a Western code page.
 MANGLED = {
@@ -15,9 +15,15 @@ MANGLED = {
 
 
 def unmangle(c: Column) -> Column:
-    for bad, good in MANGLED.items():
-        c = F.replace(c, F.lit(bad), F.lit(good))
-    return c
+    """Most texts have none of the letters that mangled ones begin with, so these are looked for first."""
+
+    def mend(x: Column) -> Column:
+        y = x
+        for bad, good in MANGLED.items():
+            y = F.replace(y, F.lit(bad), F.lit(good))
+        return F.when(x.rlike("[Ãâ]"), y).otherwise(x)
+
+    return let(c, mend)
 
 
 def fold(c: Column) -> Column:
@@ -32,7 +38,7 @@ def collapse(c: Column) -> Column:
     """Two-letter umlauts and double s of a folded string as one letter."""
     for a, b in (("ae", "a"), ("oe", "o"), ("ue", "u")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(c, "s+", "s")
+    return F.regexp_replace(c, "ss+", "s")
 
 
 def plain(c: Column) -> Column:
