@@ -7,9 +7,11 @@ sentence that no subject model explains better (the standing phrases of the pres
 under every subject) goes to none, and the models are trained anew. A document has the subjects that
 at least a third of its sentences are about, standing phrases not counted.
 
-The lead over the background from which a sentence counts, per sentence and in nats, is calibrated on
-a held-out fifth of the labelled documents. The models are fitted on at most ``LABELS`` labelled rows
-(chosen by hash); every document is judged, whole, with one pass over the corpus.
+A sentence is about each subject whose cross-entropy per token lies far enough below the background's: by ``r + c / n``
+nats for a sentence of n tokens, since few tokens prove less. A further subject counts as well if its lead is at least
+``CLOSE`` of the best one's. Rate r and evidence c are calibrated on a held-out fifth of the labelled documents: first one pair
+for all subjects, then each subject's own, where it does better. The models are fitted on at most ``LABELS`` labelled rows, whose texts are of at most
+``LABEL_CHARS`` characters (chosen by hash); every document is judged, whole, with one pass over the corpus.
 
 Defined results: NULL, empty and blank texts, and texts of standing phrases only, have no subject.
 Copies are judged each on its own and get the same subjects. Labels of unknown documents or subjects
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELS = 20_000
+LABELS, LABEL_CHARS = 20_000, 20_000
 ROUNDS = 5
 #: Occurrences of a sentence that are left out of the models when it is dealt to one.
 ITSELF = 3
@@ -38,7 +40,10 @@ DOUBT = 0.3
 SHARE = 1 / 3
 #: Weights of trigram, bigram, unigram and of any word at all.
 MIX = (0.55, 0.28, 0.14, 0.03)
-LEADS = (0.3, 0.6, 0.9, 1.2, 1.6)
+#: Acceptances that are tried: evidence of a sentence and rate per token, in nats; the first is the one to begin with.
+ACCEPT = tuple((c, r) for r in (0.0, 0.02, 0.04) for c in (0.9, 0.3, 0.6, 1.2, 1.6))
+#: Part of the best subject's lead that a further subject must have.
+CLOSE = 0.8
 REMEMBERED = 300_000
 
 _TAG = re.compile(r"<[^<>]{1,200}>")
@@ -135,25 +140,34 @@ class Model:
 
 
 class Subjects:
-    """The subject models, the background and the calibrated lead."""
+    """The subject models, the background and the calibrated thresholds."""
 
     def __init__(self, data: list[tuple[list[tuple[str, ...]], frozenset[str]]], names: list[str]):
         self.names = names
-        self.lead = LEADS[1]
-        self.seen: dict[tuple[str, ...], str | None] = {}
+        self.accept = dict.fromkeys(names, ACCEPT[2])
+        self.seen: dict[tuple[str, ...], dict[str, float]] = {}
         held = [d for k, d in enumerate(data) if k % 5 == 4] if len(data) >= 50 else []
-        kept = [d for k, d in enumerate(data) if k % 5 != 4] if held else data
         if held:
-            self.fit(kept)
-            marks = []
-            for lead in LEADS:
-                self.lead, self.seen = lead, {}
-                got = [(set(self.of(ss)), want) for ss, want in held]
-                hit = sum(len(g & w) for g, w in got)
-                marks.append((2 * hit / max(1, sum(len(g) + len(w) for g, w in got)), -abs(lead - 0.9), lead))
-            self.quality, _, self.lead = max(marks)
+            self.fit([d for k, d in enumerate(data) if k % 5 != 4])
+            self.calibrate(held)
         self.fit(data)
 
+    def calibrate(self, held: list[tuple[list[tuple[str, ...]], frozenset[str]]]) -> None:
+        def f1(accept: dict[str, tuple[float, float]]) -> float:
+            self.accept = accept
+            got = [(set(self.of(ss)), want) for ss, want in held]
+            return 2 * sum(len(g & w) for g, w in got) / max(1, sum(len(g) + len(w) for g, w in got))
+
+        # of equally good ones the first
+        quality, _, pair = max((f1(dict.fromkeys(self.names, x)), -k, x) for k, x in enumerate(ACCEPT))
+        best = dict.fromkeys(self.names, pair)
+        for name in self.names:
+            own = max((f1(best | {name: x}), -k, x) for k, x in enumerate(ACCEPT))
+            # more than one document must be better for it
+            if own[0] > quality + 1 / len(held):
+                quality, best = own[0], best | {name: own[2]}
+        self.quality, self.accept = quality, best
+
     def fit(self, data: list[tuple[list[tuple[str, ...]], frozenset[str]]]) -> None:
         bag: dict[tuple[tuple[str, ...], frozenset[str]], int] = Counter((s, names) for ss, names in data for s in ss)
         words = {w for s, _ in bag for w in s}
@@ -179,7 +193,9 @@ class Subjects:
                 self.background.add(s, -out)
                 for x, k in dealt[s].items():
                     self.models[x].add(s, -k * out / n)
-                x = self.about(s)
+                x = max(self.lead(s).items(), key=lambda v: (v[1], v[0]), default=("", -1.0))
+                x = x[0] if x[0] and x[1] >= self.least(x[0], s) else None
+                self.seen.clear()
                 # one that is dealt to none keeps a part of its labels' weight, so that it may return
                 new[s] = Counter({x: n} if x else {y: k * DOUBT for y, k in labelled[s].items()})
                 self.background.add(s, out)
@@ -192,20 +208,30 @@ class Subjects:
                     self.models[x].add(s, k)
         self.seen = {}
 
-    def about(self, s: tuple[str, ...]) -> str | None:
-        """The subject of a sentence; None if the background explains it as well."""
+    def lead(self, s: tuple[str, ...]) -> dict[str, float]:
+        """By how many nats a token each subject's cross-entropy lies below the background's, for those below it."""
         if s not in self.seen:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
             base = self.background.log(s)
-            score, best = max(((m.log(s) - base, x) for x, m in self.models.items()), default=(-1.0, ""))
-            self.seen[s] = best if score >= self.lead else None
+            self.seen[s] = {x: d for x, m in self.models.items() if (d := (m.log(s) - base) / (len(s) + 1)) > 0}
         return self.seen[s]
 
+    def about(self, s: tuple[str, ...]) -> list[str]:
+        """The subjects of a sentence; none if the background explains it as well."""
+        got = self.lead(s)
+        least = CLOSE * max(got.values(), default=0.0)
+        return [x for x, d in got.items() if d >= self.least(x, s) and d >= least]
+
+    def least(self, name: str, s: tuple[str, ...]) -> float:
+        """Nats a token from which a sentence is about a subject."""
+        c, r = self.accept[name]
+        return r + c / (len(s) + 1)
+
     def of(self, ss: list[tuple[str, ...]]) -> list[str]:
-        n = Counter(x for s in ss if (x := self.about(s)))
-        total = sum(n.values())
-        return sorted(x for x, k in n.items() if k >= SHARE * total - 1e-9)
+        told = [a for s in ss if (a := self.about(s))]
+        n = Counter(x for a in told for x in a)
+        return sorted(x for x, k in n.items() if k >= SHARE * len(told) - 1e-9)
 
 
 def train(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Subjects:
@@ -213,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Subjects:
     mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "subject").where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).distinct()
     mine = mine.orderBy(F.xxhash64("doc_id"), "subject").limit(LABELS).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     # LABELS rows at most, so this side is small by construction
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(mine), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= LABEL_CHARS).join(F.broadcast(mine), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return Subjects([(sentences(r["text"]), frozenset(r["subjects"])) for r in rows], names)
 
 
