@@ -390,23 +390,25 @@ class Repairer:
             f"second{few(w2)}", f"mark{mark}low{w2[:1].islower()}joint{w2 in JOINTS}",
         ]
 
-    def needs(self, lines: list[str], kinds: list[str]) -> set[str]:
-        """The words that aren't frequent whose counts and repairs ``rows`` will look at."""
+    def needs(self, lines: list[str], kinds: list[str]) -> tuple[set[str], set[str]]:
+        """The words that aren't frequent whose counts and whose repairs ``rows`` will look at."""
+        asked: set[str] = set()
         out: set[str] = set()
         for _, w1, _, w2 in self.divided(lines, kinds):
-            out.update((w1 + w2, f"{w1}-{w2}", w1 + "-", w1, w2))
+            out.update((w1 + "-", w1, w2))
+            asked.update((w1 + w2, f"{w1}-{w2}"))
         for line, kind in zip(lines, kinds, strict=True):
             if kind == "text":
                 last = ""
                 for w in words_of(line):
                     out.add(w)
-                    if w[-1] in MARKS:
-                        out.add(stem(w))
+                    asked.add(stem(w))
                     # two frequent words are parts of a torn one only if that is frequent too
                     if last and w.islower() and (w not in self.common or last not in self.common):
                         out.add(last + w)
                     last = w
-        return {w for w in out if w not in self.common}
+        asked = {w for w in asked if w not in self.common}
+        return asked | {w for w in out if w not in self.common}, asked
 
     def torn(self, a: str, b: str, look: Look) -> str | None:
         """The word that two neighbours are the parts of, if one of them hardly ever stands alone."""
@@ -522,7 +524,7 @@ def train(docs: DataFrame, vocab: DataFrame, text_col: str = "text") -> Repairer
     sample = [r["text"] for r in texts.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("text")).limit(DOCS).collect()]
     model = Repairer(common, rare, recurs, sample)
     read = [(lines, model.kinds(lines)) for lines in (t.split("\n") for t in sample)]
-    asked = {w for lines, kinds in read for w in model.needs(lines, kinds)}
+    asked = {w for lines, kinds in read for w in model.needs(lines, kinds)[0]}
     spark = docs.sparkSession
     # as bounded as the sample
     look = {r["w"]: (r["n"], None) for r in vocab.join(spark.createDataFrame([(w,) for w in sorted(asked)], "w string"), "w").collect()} if asked else {}
@@ -570,26 +572,28 @@ def _prepared(docs: DataFrame) -> tuple[Repairer, DataFrame]:
     vocab = cut(vocabulary(d))
     model = train(d, vocab)
     first = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("court_doc_id", pa.int64()), ("text", pa.string()), ("kinds", pa.list_(pa.string())), ("needs", pa.list_(pa.string()))])
+    schema = pa.schema([("court_doc_id", pa.int64()), ("text", pa.string()), ("kinds", pa.list_(pa.string())), ("needs", pa.list_(pa.string())), ("asked", pa.list_(pa.string()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, needs = [], []
+            kinds, needs, asked = [], [], []
             for t in b.column(1).to_pylist():
                 lines = t.split("\n")
                 kinds.append(first.value.kinds(lines))
-                needs.append(sorted(first.value.needs(lines, kinds[-1])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds, schema.field("kinds").type), pa.array(needs, schema.field("needs").type)], schema=schema)
+                n, a = first.value.needs(lines, kinds[-1])
+                needs.append(sorted(n))
+                asked.append(sorted(a))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.list_(pa.string())) for x in (kinds, needs, asked)]], schema=schema)
 
     # numbered before the cut, so that a lost executor can't renumber
-    texts = cut(d.mapInArrow(read, "court_doc_id long, text string, kinds array<string>, needs array<string>").withColumn("row", F.monotonically_increasing_id()))
+    texts = cut(d.mapInArrow(read, "court_doc_id long, text string, kinds array<string>, needs array<string>, asked array<string>").withColumn("row", F.monotonically_increasing_id()))
     wanted = texts.select("row", F.explode("needs").alias("w"))
     common = spark.createDataFrame([(w,) for w in sorted(model.common) if w[0] != "#"], "w string")
-    fixed = cut(repairs(wanted.select("w").unionByName(common).distinct(), vocab, model.chars))
+    fixed = cut(repairs(texts.select(F.explode("asked").alias("w")).unionByName(common).distinct(), vocab, model.chars))
     model.settle({r["w"]: r["fixed"] for r in fixed.join(common, "w", "left_semi").collect()})
     known = vocab.join(fixed, "w", "full").where("w not like '#%'").select("w", F.coalesce("n", F.lit(0)).alias("n"), "fixed")
     look = wanted.join(known, "w").groupBy("row").agg(F.collect_list(F.struct("w", "n", "fixed")).alias("look"))
-    return model, texts.drop("needs").join(look, "row", "left")
+    return model, texts.drop("needs", "asked").join(look, "row", "left")
 
 
 def _apply(docs: DataFrame, work: Callable[[Repairer, list[str], list[str], Look], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
