@@ -114,6 +114,18 @@ def marked(events: DataFrame, origins: DataFrame, k: int = 5, half_life: float =
     return s.withColumn("rank", rank).where(F.col("rank") <= k).select("day", "district", "rank", "n_known")
 
 
+def forecast_document(panel: DataFrame, day: str, centroids: DataFrame, current: DataFrame, k: int = 5) -> DataFrame:
+    """One row per ranked district with a known centroid: place, score, rank, and what is said of its next reports.
+
+    ``centroids``: district, lat, lon; ``current``: the newest statements of ``timing.windows``. Districts without a
+    centroid keep their rank, so that numbers may be missing; those without statements have NULL.
+    """
+    said = F.struct("category", "seen", "rate_per_30d", "p14", "p30", "t50", "t80")
+    w = current.groupBy("district").agg(F.array_sort(F.collect_list(said)).alias("timing"))
+    d = ranking(panel, day, k).join(centroids.select("district", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon")), "district").join(w, "district", "left")
+    return d.select(F.lit(day).cast("date").alias("generated_for"), "district", "lat", "lon", F.round("score", 3).alias("score"), "rank", "elevated", "timing")
+
+
 def check(panel: DataFrame, observed: DataFrame | None = None, k: int = 5) -> DataFrame:
     """One row: hit rate of the ensemble, of chance, and of always naming the busiest districts, with a note."""
     b = backtest(panel, observed, k, models=("ensemble", "long_run"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +80,19 @@ def conditions(df: DataFrame, keys: dict[str, Column], wanted: list[str]) -> Dat
     return df.where(reduce(lambda a, b: a & b, [keys[k] for k in wanted], F.lit(True)))
 
 
+def p_values(tests: DataFrame) -> DataFrame:
+    """``name, statistic, p``: two-sided p-values. ``tests``: name, kind (``r``, ``t`` or ``z``), statistic, dof (rows of an r).
+
+    One row per test, read by an Arrow function, since no built-in expression knows Student's distribution. NULL statistics have no p.
+    """
+    of = {"r": lambda x, n: pearson_p(x, int(n)), "t": student_p, "z": lambda x, n: normal_p(x)}
+
+    def run(kind: pd.Series, x: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else round(of[k](v, n), 9) for k, v, n in zip(kind, x, dof, strict=True)], dtype="float64")
+
+    return tests.select("name", "statistic", F.pandas_udf(run, "double")("kind", "statistic", "dof").alias("p"))
+
+
 def _beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function (continued fraction, modified Lentz)."""
     if x <= 0 or x >= 1:

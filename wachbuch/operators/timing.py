@@ -98,11 +98,13 @@ def top_offenses(post: DataFrame, n: int = 3) -> DataFrame:
     return post.where(F.col("category") != ANY).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def shown(post: DataFrame, k: int = 5, n: int = 3, least_seen: int = 3, named: str = "Sonstiges") -> DataFrame:
-    """Adds ``shown``: the statements the map would make, for the k busiest districts of each day: the
-    series of all categories, and the n offenses seen most, without the catch-all, seen at least 3 times."""
+def shown(post: DataFrame, k: int = 5, n: int = 3, least_seen: int = 3, named: str = "Sonstiges", marked: DataFrame | None = None) -> DataFrame:
+    """Adds ``shown``: the statements the map would make, for the districts ``marked`` on each day (``district, day``; the k
+    busiest if none are given): the series of all categories, and the n offenses seen most, without the
+    catch-all, seen at least 3 times."""
     busy = post.where(F.col("category") == ANY).withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(F.desc(F.round(F.col("a") / F.col("b"), 9)), "district")))
-    busy = busy.where(F.col("place") <= k).select("district", "day", F.lit(1).alias("busy"))
+    busy = busy.where(F.col("place") <= k) if marked is None else marked
+    busy = busy.select("district", "day", F.lit(1).alias("busy"))
     top = top_offenses(post.where(F.col("category") != named), n).where(F.col("seen") >= least_seen).select("district", "category", "day", F.lit(1).alias("top"))
     p = post.join(busy, ["district", "day"], "left").join(top, ["district", "category", "day"], "left")
     return p.withColumn("shown", F.col("busy").isNotNull() & ((F.col("category") == ANY) | F.col("top").isNotNull())).drop("busy", "top")

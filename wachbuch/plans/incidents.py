@@ -6,11 +6,11 @@ the order date the incident's day; publication follows key % 4 days later, and o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wachbuch.operators import hotspot, panel, stats, timing
-from wachbuch.session import table
+from wachbuch.session import cut, table
 
 CATEGORIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -41,16 +41,40 @@ def observed(spark: SparkSession, d: str) -> DataFrame:
     return panel.covered_days(panel.coverage_spans(pub_days(feed(spark, d))), -1)
 
 
-def score_query(model: str):
-    return lambda s, d: hotspot.scores(daily(s, d)).select("day", "district", F.round(model, 6).alias("score"))
+def forecast_day(spark: SparkSession, d: str) -> str:
+    """The day after the last one that has an incident or is covered."""
+    last = daily(spark, d).select("day").unionByName(observed(spark, d)).agg(F.date_add(F.max("day"), 1)).first()[0]
+    return str(last)
+
+
+def forecast_rows(spark: SparkSession, d: str) -> DataFrame:
+    p = daily(spark, d)
+    # the 23 forecast points of the first area stand for the districts' centroids
+    c = table(spark, d, "forecast").where("area_no = 1 or area_no = 0").groupBy("stadtteil").agg(F.min_by(F.struct("lat", "lon"), "forecast_id").alias("c"))
+    c = c.select(F.format_string("D%02d", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("stadtteil")) - 1).alias("district"), "c.lat", "c.lon")
+    doc = hotspot.forecast_document(p, forecast_day(spark, d), c, last_day(timing.windows(post(spark, d))))
+    return doc.select("generated_for", "district", "lat", "lon", "score", "rank", "elevated", F.size("timing").alias("n_said"), F.round(F.aggregate("timing", F.lit(0.0), lambda acc, x: acc + x["p14"]), 4).alias("sum_p14"))
 
 
-def sparse(spark: SparkSession, d: str) -> DataFrame:
-    return feed(spark, d).where("status = 'P'")
+def marked_shown(spark: SparkSession, d: str) -> DataFrame:
+    p = cut(post(spark, d))
+    m = hotspot.marked(feed(spark, d), p.select("day").distinct())
+    return timing.shown(p, marked=m)
+
+
+def p_values(spark: SparkSession, d: str) -> DataFrame:
+    t = cut(totals(spark, d))
+    r, w, u = stats.pearson(t, "weekday", "n_total"), stats.welch(t, "is_weekend", "n_total"), stats.mann_whitney(t, "is_weekend", "n_total")
+    rows = [r.select(F.lit("weekday, correlation").alias("name"), F.lit("r").alias("kind"), F.col("r").alias("statistic"), F.col("n").cast("double").alias("dof")), w.select(F.lit("weekend, Welch"), F.lit("t"), "t", "dof"), u.select(F.lit("weekend, ranks"), F.lit("z"), "z", F.lit(0.0))]
+    return stats.benjamini_hochberg(stats.p_values(rows[0].union(rows[1]).union(rows[2])))
+
+
+def score_query(model: str):
+    return lambda s, d: hotspot.scores(daily(s, d)).select("day", "district", F.round(model, 6).alias("score"))
 
 
 def time_grid(spark: SparkSession, d: str) -> DataFrame:
-    f = sparse(spark, d)
+    f = feed(spark, d)
     return timing.grid(f, panel.covered_days(panel.coverage_spans(pub_days(f)), -1))
 
 
@@ -95,16 +119,20 @@ QUERIES = {
     "observed_days": observed,
     "backtest_summary": lambda s, d: hotspot.backtest(daily(s, d), observed(s, d)),
     "forecast_ranking": forecast,
-    "marked_as_of": lambda s, d: hotspot.marked(feed(s, d), panel.city_totals(daily(s, d)).where(F.dayofmonth("day") == 1)),
-    "known_by_day": lambda s, d: hotspot.known_by(feed(s, d), panel.city_totals(daily(s, d)).where(F.dayofmonth("day") == 15)).select("day", "district", "n_known", F.round("score", 6).alias("score")),
+    "marked_as_of": lambda s, d: hotspot.marked(feed(s, d), panel.city_totals(daily(s, d))),
+    "known_by_day": lambda s, d: hotspot.known_by(feed(s, d), panel.city_totals(daily(s, d))).select("day", "district", "n_known", F.round("score", 6).alias("score")),
     "timing_posterior": lambda s, d: post(s, d).select("district", "category", "day", "seen", F.round("a", 6).alias("a"), F.round("b", 6).alias("b")),
     "timing_windows": lambda s, d: last_day(timing.windows(post(s, d))),
     "top_offenses": lambda s, d: last_day(timing.top_offenses(post(s, d))).select("district", "category", "day", "seen", "rank"),
     "timing_shown": lambda s, d: last_day(timing.shown(post(s, d))).select("district", "category", "day", "seen", "shown"),
-    "timing_backtest": lambda s, d: timing.calibration(timing.backtest(timing.shown(post(s, d)))),
+    "timing_backtest": lambda s, d: timing.calibration(timing.backtest(timing.shown(cut(post(s, d))))),
+    "timing_marked": lambda s, d: marked_shown(s, d).where("shown").select("district", "category", "day", F.col("seen").cast("long").alias("seen")),
+    "timing_block": lambda s, d: timing.calibration(timing.backtest(marked_shown(s, d))).where("cls like 'shown%'"),
+    "forecast_document": forecast_rows,
+    "test_p_values": p_values,
     "timing_scores": lambda s, d: timing.proper_scores(post(s, d)),
     "timing_reliability": lambda s, d: timing.reliability(post(s, d)),
-    "timing_models": lambda s, d: timing.compare(time_grid(s, d), (60.0, 120.0), (30.0, 90.0)),
+    "timing_models": lambda s, d: timing.compare(time_grid(s, d)),
     "hotspot_check": lambda s, d: hotspot.check(daily(s, d), observed(s, d)),
     "public_holidays": lambda s, d: panel.holidays(table(s, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()),
     "condition_days": lambda s, d: stats.conditions(totals(s, d), {"weekend": F.col("is_weekend"), "payday": F.col("is_payday"), "holiday": F.col("range_name").isNotNull()}, ["weekend", "payday"]).select("day", "n_total"),
@@ -154,7 +182,7 @@ def _score(model: str) -> str:
 
 
 GRID = """
-sfeed as (select * from feed where status = 'P'),""" + _pub("sfeed") + """,
+sfeed as (select * from feed),""" + _pub("sfeed") + """,
 cdays as (select day, date_diff('day', min(day) over (), day) as t, row_number() over (order by day) - 1 as j from observed),
 ev as (select district, category, day, count(*) as n from sfeed where day in (select day from observed) group by all
   union all select district, '_any', day, count(*) from sfeed where day in (select day from observed) group by all),
@@ -184,7 +212,32 @@ _C = f"with {FEED}, {_pub('feed')}"
 _K = """
 first as (select min(day) as first from feed),
 known as (select o.day, ds.district, count(f.id) as n_known, coalesce(sum(pow(2, date_diff('day', first, f.day) / 7.0)), 0) * pow(2, -(date_diff('day', first, o.day) - 1) / 7.0) as score
-  from (select day from days where day(day) = {dom}) o cross join ds cross join first left join feed f on f.district = ds.district and f.pub < o.day group by o.day, ds.district, first)"""
+  from {origins} o cross join ds cross join first left join feed f on f.district = ds.district and f.pub < o.day group by o.day, ds.district, first)"""
+
+_TESTED = """cum as (select *, sum(n) over (partition by district, category order by j rows between unbounded preceding and current row) as cum, max(j) over (partition by district, category) as last from shown),
+said as (select *, cast(ceil(least(b * (pow(1 - q, -1 / a) - 1), 1e9)) as integer) as win from cum cross join (values (cast(0.5 as double)), (cast(0.8 as double))) as v(q) where j >= 120),
+tested as (select s.q, s.category, s.shown, 1 - pow(s.b / (s.b + s.win), s.a) as said, case when z.cum - (s.cum - s.n) > 0 then 1 else 0 end as came from said s join cum z on z.district = s.district and z.category = s.category and z.j = s.j + s.win - 1
+  where s.win between 1 and 180 and s.j + s.win <= s.last + 1),
+classes as (select q, said, came, 'offense' as cls from tested where category <> '_any' union all select q, said, came, 'any' from tested where category = '_any'
+  union all select q, said, came, 'shown_offense' from tested where category <> '_any' and shown union all select q, said, came, 'shown_any' from tested where category = '_any' and shown)
+select q, cls, count(*) as n, cast(sum(came) as bigint) as n_true, round(avg(said), 6) as said, round(avg(came), 6) as came_true from classes"""
+_MARKED = """first as (select min(day) as first from feed),
+known as (select o.day, ds.district, coalesce(sum(pow(2, date_diff('day', first, f.day) / 7.0)), 0) * pow(2, -(date_diff('day', first, o.day) - 1) / 7.0) as score
+  from cdays o cross join (select distinct district from feed) ds cross join first left join feed f on f.district = ds.district and f.pub < o.day group by o.day, ds.district, first),
+mk as (select day, district from (select *, row_number() over (partition by day order by round(score, 9) desc, district) as rank from known) where rank <= 5),
+mshown as (select p.*, (mk.district is not null and (p.category = '_any' or t3.category is not null)) as shown from post p left join mk using (district, day)
+  left join (select district, category, day from top where rank <= 3 and seen >= 3) t3 on p.district = t3.district and p.category = t3.category and p.day = t3.day)"""
+
+_BACKTEST = f"""with {FEED}, {_pub('feed')}, {PANEL},
+obs as (select m.*, case when o.day is null then 0 else 1 end as obs from models m left join observed o using (day)),
+tested as (select *, case when sum(n_total) over a > 0 then 1 else 0 end as hot, count(*) over a as k, min(obs) over a as all_obs, coalesce(sum(obs) over b, 0) as before from obs
+  window a as (partition by district order by day rows between current row and 6 following), b as (partition by district order by day rows between unbounded preceding and 1 preceding)),
+st as (unpivot (select day, district, hot, cast(naive as double) as naive, cast(exp_decay as double) as exp_decay, cast(dow as double) as dow, cast(long_run as double) as long_run, cast(ensemble as double) as ensemble from tested where k = 7 and all_obs = 1 and before >= 21)
+  on naive, exp_decay, dow, long_run, ensemble into name model value score),
+rk as (select *, row_number() over (partition by model, day order by round(score, 9) desc, district) as rank from st),
+per as (select model, day, sum(case when rank <= 5 then hot else 0 end) as hits, sum(hot) as hot, count(*) as n from rk group by model, day)
+select model, count(*) as test_days, cast(sum(hits) as bigint) as hits, cast(sum(hot) as bigint) as hot_districts, round(sum(hits) / (count(*) * 5), 6) as precision_at_k, round(sum(hot) / sum(n), 6) as random_rate,
+  round((sum(hits) / (count(*) * 5)) / (sum(hot) / sum(n)), 6) as lift, round(avg(case when hits > 0 then 1 else 0 end), 6) as any_hit from per group by model"""
 
 SQL = {
     "panel_daily": f"with {FEED}, {PANEL} select day, district, n_total from panel",
@@ -195,36 +248,40 @@ SQL = {
     "coverage_spans": f"{_C} select * from spans",
     "coverage_summary": f"{_C} select min(first) as first_day, max(last) as last_day, cast(sum(n_days) as bigint) as n_covered, date_diff('day', min(first), max(last)) + 1 as n_days, count(*) - 1 as n_holes from spans",
     "observed_days": f"{_C} select day from observed",
-    "backtest_summary": f"""with {FEED}, {_pub('feed')}, {PANEL},
-obs as (select m.*, case when o.day is null then 0 else 1 end as obs from models m left join observed o using (day)),
-tested as (select *, case when sum(n_total) over a > 0 then 1 else 0 end as hot, count(*) over a as k, min(obs) over a as all_obs, coalesce(sum(obs) over b, 0) as before from obs
-  window a as (partition by district order by day rows between current row and 6 following), b as (partition by district order by day rows between unbounded preceding and 1 preceding)),
-st as (unpivot (select day, district, hot, cast(naive as double) as naive, cast(exp_decay as double) as exp_decay, cast(dow as double) as dow, cast(long_run as double) as long_run, cast(ensemble as double) as ensemble from tested where k = 7 and all_obs = 1 and before >= 21)
-  on naive, exp_decay, dow, long_run, ensemble into name model value score),
-rk as (select *, row_number() over (partition by model, day order by round(score, 9) desc, district) as rank from st),
-per as (select model, day, sum(case when rank <= 5 then hot else 0 end) as hits, sum(hot) as hot, count(*) as n from rk group by model, day)
-select model, count(*) as test_days, cast(sum(hits) as bigint) as hits, cast(sum(hot) as bigint) as hot_districts, round(sum(hits) / (count(*) * 5), 6) as precision_at_k, round(sum(hot) / sum(n), 6) as random_rate,
-  round((sum(hits) / (count(*) * 5)) / (sum(hot) / sum(n)), 6) as lift, round(avg(case when hits > 0 then 1 else 0 end), 6) as any_hit from per group by model""",
+    "backtest_summary": _BACKTEST,
+    "hotspot_check": f"""with b as ({_BACKTEST}), r as (select max(test_days) as test_days, max(case when model = 'ensemble' then precision_at_k end) as hit_rate, max(case when model = 'ensemble' then random_rate end) as random_rate,
+  max(case when model = 'long_run' then precision_at_k end) as always_busiest from b)
+select *, 'Trefferquote ' || printf('%.0f', hit_rate * 100) || ' %, zufällig ' || printf('%.0f', random_rate * 100) || ' %, immer die meistgenannten ' || printf('%.0f', always_busiest * 100) || ' %: ' ||
+  case when hit_rate > always_busiest + 0.02 then 'besser als die einfache Regel.' else 'nicht besser als die einfache Regel.' end as note from r where test_days is not null""",
+    "public_holidays": f"""with y as (select distinct cast(year(o_orderdate) as integer) as y from orders),
+e1 as (select y, y % 19 as a, y // 100 as b, y % 100 as c from y),
+e2 as (select *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 as h from e1),
+e3 as (select *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 as w from e2),
+e4 as (select y, h + w - 7 * ((a + 11 * h + 22 * w) // 451) + 114 as n from e3),
+e as (select y, make_date(y, n // 31, n % 31 + 1) as easter from e4)
+select make_date(y, m, d) as day, name as holiday from y cross join (values {', '.join(str(x) for x in panel.FIXED_HOLIDAYS)}) as f(name, m, d)
+union all select easter + o, name from e cross join (values {', '.join(str(x) for x in panel.EASTER_HOLIDAYS)}) as f(name, o)""",
     "forecast_ranking": f"""with {FEED}, span0 as (select max(day) + 1 as nxt from feed), {PANEL.replace("select min(day) as a, max(day) as b from feed", "select min(day) as a, max(day) + 1 as b from feed")},
 today as (select district, round(ensemble, 9) as score from models where day = (select nxt from span0)),
 rk as (select district, round(score, 6) as score, row_number() over (order by score desc, district) as rank from today)
 select *, rank <= 5 as elevated from rk""",
-    "marked_as_of": f"with {FEED}, {PANEL}, {_K.format(dom=1)} select day, district, rank, n_known from (select *, row_number() over (partition by day order by round(score, 9) desc, district) as rank from known) where rank <= 5",
-    "known_by_day": f"with {FEED}, {PANEL}, {_K.format(dom=15)} select day, district, n_known, round(score, 6) as score from known",
-    "timing_posterior": f"{_G} select district, category, day, cast(seen as bigint) as seen, round(a, 6) as a, round(b, 6) as b from post where j % 50 = 0",
+    "marked_as_of": f"with {FEED}, {PANEL}, {_K.format(origins="days")} select day, district, rank, n_known from (select *, row_number() over (partition by day order by round(score, 9) desc, district) as rank from known) where rank <= 5",
+    "known_by_day": f"with {FEED}, {PANEL}, {_K.format(origins="days")} select day, district, n_known, round(score, 6) as score from known",
+    "timing_posterior": f"{_G} select district, category, day, cast(seen as bigint) as seen, round(a, 6) as a, round(b, 6) as b from post",
     "timing_windows": f"""{_G} select district, category, day, cast(seen as bigint) as seen, round(a / b * 30, 6) as rate_per_30d, round(1 - pow(b / (b + 14), a), 6) as p14, round(1 - pow(b / (b + 30), a), 6) as p30,
   case when ceil(least(b * (pow(0.5, -1 / a) - 1), 1e9)) <= 180 then cast(ceil(b * (pow(0.5, -1 / a) - 1)) as integer) end as t50,
   case when ceil(least(b * (pow(1.0 - 0.8, -1 / a) - 1), 1e9)) <= 180 then cast(ceil(b * (pow(1.0 - 0.8, -1 / a) - 1)) as integer) end as t80 from post where day = (select max(day) from post)""",
     "top_offenses": f"{_G} select district, category, day, cast(seen as bigint) as seen, rank from top where rank <= 3 and day = (select max(day) from post)",
     "timing_shown": f"{_G} select district, category, day, cast(seen as bigint) as seen, shown from shown where day = (select max(day) from post)",
-    "timing_backtest": f"""{_G},
-cum as (select *, sum(n) over (partition by district, category order by j rows between unbounded preceding and current row) as cum, max(j) over (partition by district, category) as last from shown),
-said as (select *, cast(ceil(least(b * (pow(1 - q, -1 / a) - 1), 1e9)) as integer) as win from cum cross join (values (cast(0.5 as double)), (cast(0.8 as double))) as v(q) where j >= 120),
-tested as (select s.q, s.category, s.shown, 1 - pow(s.b / (s.b + s.win), s.a) as said, case when z.cum - (s.cum - s.n) > 0 then 1 else 0 end as came from said s join cum z on z.district = s.district and z.category = s.category and z.j = s.j + s.win - 1
-  where s.win between 1 and 180 and s.j + s.win <= s.last + 1),
-classes as (select q, said, came, 'offense' as cls from tested where category <> '_any' union all select q, said, came, 'any' from tested where category = '_any'
-  union all select q, said, came, 'shown_offense' from tested where category <> '_any' and shown union all select q, said, came, 'shown_any' from tested where category = '_any' and shown)
-select q, cls, count(*) as n, cast(sum(came) as bigint) as n_true, round(avg(said), 6) as said, round(avg(came), 6) as came_true from classes group by q, cls""",
+    "timing_backtest": f"""{_G}, {_TESTED} group by q, cls""",
+    "timing_marked": f"""{_G}, {_MARKED} select district, category, day, cast(seen as bigint) as seen from mshown where shown""",
+    "timing_block": f"""{_G}, {_MARKED}, {_TESTED.replace("from shown)", "from mshown)")} where cls like 'shown%' group by q, cls""",
+    "forecast_document": f"""with {FEED}, {GRID}, nxt as (select greatest((select max(day) from feed), (select max(day) from observed)) + 1 as nxt), {PANEL.replace("select min(day) as a, max(day) as b from feed", "select min(day) as a, (select nxt from nxt) as b from feed")},
+c as (select 'D' || lpad(cast(row_number() over (order by stadtteil) - 1 as varchar), 2, '0') as district, lat, lon from (select stadtteil, arg_min(lat, forecast_id) as lat, arg_min(lon, forecast_id) as lon from forecast where area_no in (0, 1) group by stadtteil)),
+today as (select district, round(ensemble, 9) as score from models where day = (select nxt from nxt)),
+rk as (select district, score, row_number() over (order by score desc, district) as rank from today),
+w as (select district, count(*) as n_said, round(sum(round(1 - pow(b / (b + 14), a), 6)), 4) as sum_p14 from post where day = (select max(day) from post) group by district)
+select (select nxt from nxt) as generated_for, district, round(lat, 5) as lat, round(lon, 5) as lon, round(round(score, 6), 3) as score, rank, rank <= 5 as elevated, cast(n_said as integer) as n_said, sum_p14 from rk join c using (district) left join w using (district)""",
     "timing_scores": f"""{_G},
 ys as (select *, case when sum(n) over w > 0 then 1 else 0 end as y, count(*) over w as k from post window w as (partition by district, category order by j rows between current row and 13 following)),
 ps as (select case when category = '_any' then 'any' else 'offense' end as cls, y, 1 - pow(b / (b + 14), a) as p from ys where k = 14 and j >= 120),
@@ -235,7 +292,7 @@ ys as (select *, case when sum(n) over w > 0 then 1 else 0 end as y, count(*) ov
 ps as (select y, round(1 - pow(b / (b + 14), a), 9) as p from ys where k = 14 and j >= 120)
 select case when p < 0.05 then 0 when p < 0.15 then 1 when p < 0.3 then 2 when p < 0.6 then 3 else 4 end as bin, count(*) as n, round(avg(p), 6) as mean_p, cast(sum(y) as bigint) as n_true from ps group by bin""",
     "timing_models": f"""with {FEED}, {GRID.split("runs as")[0]}
-par as (select * from (values (cast(60.0 as double)), (cast(120.0 as double))) as h(half_life) cross join (values (cast(30.0 as double)), (cast(90.0 as double))) as p(prior)),
+par as (select * from (values (cast(30.0 as double)), (60.0), (120.0), (240.0), (480.0)) as h(half_life) cross join (values (cast(15.0 as double)), (30.0), (60.0), (90.0), (180.0)) as p(prior)),
 runs as (select *, coalesce(sum(n * pow(2, t / half_life)) over w, 0) * pow(2, -t / half_life) as nt, coalesce(sum(pow(2, t / half_life)) over w, 0) * pow(2, -t / half_life) as exposure
   from grid cross join par window w as (partition by half_life, prior, district, category order by t rows between unbounded preceding and 1 preceding)),
 shares as (select *, sum(case when category = '_any' then nt else 0 end) over (partition by half_life, prior, t, district) as of_district, sum(case when category = '_any' then nt else 0 end) over (partition by half_life, prior, t) as of_city,

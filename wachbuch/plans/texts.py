@@ -146,7 +146,7 @@ _FIRST = r"""case when length(regexp_extract({0}, '(\d{{1,2}})\.(\d{{1,2}})\.(\d
 _STAGE = "case " + " ".join(f"when regexp_matches(lower(r.title), '{p}') then '{n}'" for n, p in rules.STAGES) + " else 'sonstiges' end"
 _FEED = "with feed as (select o_orderkey as id, 'D' || lpad(cast(c_nationkey as varchar), 2, '0') as district, o_orderpriority as category, cast(o_orderdate as date) as day from orders join customer on o_custkey = c_custkey where c_nationkey < 23)"
 _HAV = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2), 1.0)))"
-_POINTS = _FEED.replace("with feed", "with recursive feed") + ", pts as (select id, category, day, 53.05 + (id * 7919 % 4500) / 100000 as lat, 8.75 + (id * 104729 % 7500) / 100000 as lon from feed where id % 5 = 0)"
+_POINTS = _FEED.replace("with feed", "with recursive feed") + ", pts as (select id, category, day, 53.05 + (id * 7919 % 4500) / 100000 as lat, 8.75 + (id * 104729 % 7500) / 100000 as lon from feed)"
 
 
 def _components(days: int, metres: float) -> str:
@@ -156,8 +156,17 @@ edges as (select x.id as a, y.id as b from pts x join pts y on x.category = y.ca
 reach(node, root) as (select a, a from edges union select e.b, r.root from reach r join edges e on e.a = r.node),
 comp as (select node, min(root) as root from reach group by node)"""
 
+_DATED = r"regexp_extract(publish_date, '^\s*\(?\s*(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}|\d{{2}})\s*\)?\s*$', {0})"
+_LINE = f"case when {_DATED.format(3)} <> '' then lpad({_DATED.format(1)}, 2, '0') || '.' || lpad({_DATED.format(2)}, 2, '0') || '.' || case when length({_DATED.format(3)}) = 2 then '20' else '' end || {_DATED.format(3)} end"
 
 SQL = {
+    "classify_counts": f"""select case when category in ({', '.join(repr(x) for x in rules.FOLDED)}) then 'Sonstiges' else category end as category, count(*) as n
+  from (select {_CAT} as category from (select coalesce(title, '') || chr(10) || coalesce(text, '') as text from press_releases)) group by 1""",
+    "date_parse_matrix": f"""select rec_id, {_LINE} as line, {_ISO.format('publish_date')} as iso, {_FIRST.format('zeit_raw')} as first from press_releases""",
+    "release_keys": """with b as (select rec_id, coalesce(title, '') as t, coalesce(publish_date, '') as p, coalesce(cast(cast(trunc(try_cast(trim(pm_id) as double)) as bigint) as varchar), 't:' || coalesce(title, '')) as base,
+  coalesce(strftime(try_strptime(regexp_extract(publish_date, '^([0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4})$', 1), '%d.%m.%Y'), '%Y-%m-%d'), '9999') as d from press_releases),
+f as (select base, arg_min({'t': t, 'p': p}, (d, t, p)) as first from b group by base)
+select rec_id, case when t = first.t and p = first.p then base else base || '~' || left(sha1(t || '|' || p), 6) end as key from b join f using (base)""",
     "classify_documents": f"select doc_id, {_CAT} as category from documents",
     "release_numbers": f"""select rec_id, {_NO.format('pm_id')} as no, try_cast(nullif(regexp_extract(regexp_replace(source_url, '[?#].*$', ''), '(\\d{{1,18}})/*$', 1), '') as bigint) as page,
   try_cast(regexp_extract(source_url, 'ab-(\\d{{2}})(\\d{{2}})(\\d{{4}})', 3) || '-' || regexp_extract(source_url, 'ab-(\\d{{2}})(\\d{{2}})(\\d{{4}})', 2) || '-' || regexp_extract(source_url, 'ab-(\\d{{2}})(\\d{{2}})(\\d{{4}})', 1) as date) as page_day from press_releases""",
@@ -179,7 +188,6 @@ select rec_id, case when pub is not null and date_diff('day', seen, pub) between
     "haversine_pairs": f"select a.forecast_id as a, b.forecast_id as b, round({_HAV.format(a='a.lat', b='a.lon', c='b.lat', d='b.lon')}, 3) as metres from forecast a join forecast b on a.area_no = b.area_no and a.forecast_id < b.forecast_id",
     "tile_math": "select forecast_id, cast(floor((lon + 180) / 360 * 8192) as integer) as x, cast(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 8192) as integer) as y from forecast",
     "followup_dedupe": f"{_components(0, 400.0)} select id, day from pts where id not in (select node from comp where node <> root)",
-    "series_clusters": f"{_components(14, 1000.0)} select root, category, count(*) as n, min(day) as date_start, max(day) as date_end, date_diff('day', min(day), max(day)) as span_days from comp join pts on node = id group by root, category having count(*) >= 3",
     "json_props": "select event_type, cast(sum(cast(props->>'$.k' as integer)) as bigint) as k_sum, count(*) as n from events group by event_type",
     "rollup_any": f"{_FEED} select district, category, count(*) as n from feed group by all union all select district, '_any', count(*) from feed group by district",
 }
