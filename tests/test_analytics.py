@@ -168,3 +168,26 @@ def test_archive_comes_back_from_its_copy(spark):
     b = spark.createDataFrame([("1", "T", "d", None, None, "x", "u"), ("2", "U", None, None, None, "y", "u")], cols)
     assert sorted((r.key, r.publish_date) for r in archive.load(a, b).collect()) == [("1", "d"), ("2", None)]
     assert [r.key for r in archive.lost(archive.load(b, b), archive.load(a, a)).collect()] == ["2"]
+
+
+def test_p_values_and_marked_districts(spark):
+    t = spark.createDataFrame([("a", "t", 2.0, 10.0), ("b", "z", 1.96, 0.0), ("c", "r", 0.5, 20.0), ("d", "t", None, 5.0)], "name string, kind string, statistic double, dof double")
+    got = {r.name: r.p for r in stats.p_values(t).collect()}
+    assert got["a"] == pytest.approx(0.0734, abs=2e-4) and got["b"] == pytest.approx(0.05, abs=1e-3) and got["c"] == pytest.approx(0.0248, abs=2e-4) and got["d"] is None
+    e, c = history(spark, 60)
+    p = timing.posterior(timing.grid(e, c))
+    marked = spark.createDataFrame([("D2", START + timedelta(50))], "district string, day date")
+    said = timing.shown(p, marked=marked).where("shown").select("district", "day").distinct().collect()
+    assert [(r.district, r.day) for r in said] == [("D2", START + timedelta(50))]
+
+
+def test_forecast_document_and_csv(spark, tmp_path):
+    e, c = history(spark, 60)
+    now = timing.windows(timing.posterior(timing.grid(e, c)).where(F.col("day") == F.lit(START + timedelta(59))))
+    centroids = spark.createDataFrame([("D0", 53.0, 8.8), ("D1", 53.1, 8.9), ("X", 1.0, 1.0)], "district string, lat double, lon double")
+    doc = hotspot.forecast_document(panel.daily(e, e.select("district").distinct()), str(START + timedelta(60)), centroids, now).collect()
+    assert {r.district for r in doc} == {"D0", "D1"} and all(len(r.timing) == 3 and [x.category for x in r.timing] == sorted(x.category for x in r.timing) for r in doc)
+    rows = [(1, ' a "b", c\nd', START), (2, "", None), (3, None, START)]
+    back = [rows[0], (2, None, None), rows[2]]
+    sinks.write_csv(spark.createDataFrame(rows, "k int, t string, day date").coalesce(1), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in files.csv(spark, str(tmp_path / "c"), "k int, t string, day date").collect()) == back

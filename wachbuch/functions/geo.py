@@ -54,3 +54,18 @@ def with_morton3(df: DataFrame, x: Column, y: Column, z: Column, out: str) -> Da
         df = df.withColumns({n: F.col(n).bitwiseOR(F.shiftleft(F.col(n), shift)).bitwiseAND(F.lit(mask).cast("long")) for n in names})
     a, b, c = (F.col(n) for n in names)
     return df.withColumn(out, a.bitwiseOR(F.shiftleft(b, 1)).bitwiseOR(F.shiftleft(c, 2))).drop(*names)
+
+
+#: The box (west, north, east, south) that addresses are looked for in, and what is asked behind a street.
+LOOKUP_BOX = (8.45, 53.22, 9.05, 52.95)
+LOOKUP_TAIL = ", Bremen, Germany"
+
+
+def in_lookup_box(lat: Column, lon: Column) -> Column:
+    west, north, east, south = LOOKUP_BOX
+    return lat.between(south, north) & lon.between(west, east)
+
+
+def lookup_text(street: Column) -> Column:
+    """What an address service is asked for a street; NULL without one."""
+    return F.concat(street, F.lit(LOOKUP_TAIL))

@@ -3,6 +3,8 @@ SQL can say the same."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from wachbuch.functions import dates, geo, keys, places, rules
 from wachbuch.functions.text import page_number, release_number
 from wachbuch.operators import archive, courts, exports, series
 from wachbuch.plans.incidents import feed
-from wachbuch.session import table
-from wachbuch.sources import files, pages
+from wachbuch.session import cut, shared_folder, table
+from wachbuch.sources import files, pages, sinks
 
 TODAY = "2026-10-11"
 
@@ -90,11 +92,45 @@ def clusters(s: SparkSession, d: str) -> DataFrame:
     return series.find(points(s, d), 1000.0, 14, 3).select("root", "category", "n", "date_start", "date_end", "span_days")
 
 
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Incident columns written as CSV and read again."""
+    cols = press(s, d).select("rec_id", "pm_id", "title", "publish_date", F.to_date("fetched_at").alias("day"))
+    place = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(cols, place)
+    return files.csv(s, place, "rec_id long, pm_id string, title string, publish_date string, day date")
+
+
+def court_list(s: SparkSession, d: str) -> DataFrame:
+    """Court releases of the case table, and the scanned ones that it doesn't name, as one list."""
+    r = table(s, d, "court_matches").select(F.explode("releases").alias("r")).groupBy(F.col("r.pm_id").alias("id")).agg(F.min("r.publish_date").alias("day"), F.min("r.title").alias("title"))
+    k = table(s, d, "raw_courts").where("pm_number is not null").groupBy(F.concat_ws("/", "pm_number", "pm_year").alias("id")).agg(F.min("court").alias("title"))
+    none = F.lit(None).cast("string")
+    return exports.court_list(r.withColumn("time", none), k.select("id", none.alias("day"), "title", none.alias("time")))
+
+
+def rekeyed(s: SparkSession, d: str) -> DataFrame:
+    """The archive under numbers as written, without what the parsed pages hold under the plain number."""
+    a = press(s, d).where("pm_id is not null").groupBy(F.col("pm_id").alias("key"), "source_url", "title", "publish_date", "text").agg(F.count("*").alias("n"))
+    p = a.withColumn("key", release_number(F.col("key")).cast("string")).where("key is not null")
+    return archive.drop_rekeyed(a, p).groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def _press_cols(*cols):
     return lambda s, d: press(s, d).select("rec_id", *[c() for c in cols])
 
 
 QUERIES = {
+    "csv_round_trip": csv_round_trip,
+    "court_list": lambda s, d: exports.court_index(court_list(s, d)).select("id", "day", "title"),
+    "court_stats": lambda s, d: (lambda c: courts.stats(courts.match(c, incident_rows(s, d).select(F.col("key").alias("pm_id"), "category", "day", "district", "ort_raw", "other_city")), c))(cut(courts.cases(court_rows(s, d)))),
+    "rekeyed": rekeyed,
+    "text_slugs": lambda s, d: press(s, d).select("rec_id", rules.slug(F.col("title")).alias("slug"), rules.fingerprint(F.col("title"), 8).alias("mark")),
+    "release_refs": lambda s, d: table(s, d, "raw_courts").select("court_doc_id", F.array_join(rules.release_refs(F.col("text")), "|").alias("refs")),
+    "without_imprint": lambda s, d: table(s, d, "raw_courts").select("court_doc_id", F.length(rules.without_imprint(F.col("text"))).alias("n")),
+    "size_rollup": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("total"), F.max(F.length("text")).alias("largest"), F.count_if(F.length("text") > 1000).alias("n_large")),
+    "distinct_sketch": lambda s, d: table(s, d, "press_releases").groupBy("origin").agg(F.hll_sketch_agg("source_url", 12).alias("h")).agg(F.hll_sketch_estimate(F.hll_union_agg("h", True)).alias("pages")),
+    "lookup_texts": lambda s, d: press(s, d).select(geo.lookup_text(places.street(F.col("ort_raw"))).alias("asked")).where("asked is not null").distinct(),
+    "lookup_box": lambda s, d: table(s, d, "series").where(geo.in_lookup_box(F.col("centroid_lat"), F.col("centroid_lon"))).groupBy("area_no").agg(F.count("*").alias("n")),
     "classify_documents": lambda s, d: table(s, d, "documents").select("doc_id", rules.category(F.lit(""), F.col("text")).alias("category")),
     "classify_counts": lambda s, d: press(s, d).groupBy(rules.shown_category(rules.category(F.col("title"), F.col("text"))).alias("category")).agg(F.count("*").alias("n")),
     "districts_of_place": lambda s, d: press(s, d).select("rec_id", F.array_join(places.districts_of(F.col("ort_raw")), "|").alias("districts"), places.other_city(F.col("ort_raw")).alias("other_city")),
@@ -160,6 +196,15 @@ _DATED = r"regexp_extract(publish_date, '^\s*\(?\s*(\d{{1,2}})\.(\d{{1,2}})\.(\d
 _LINE = f"case when {_DATED.format(3)} <> '' then lpad({_DATED.format(1)}, 2, '0') || '.' || lpad({_DATED.format(2)}, 2, '0') || '.' || case when length({_DATED.format(3)}) = 2 then '20' else '' end || {_DATED.format(3)} end"
 
 SQL = {
+    "csv_round_trip": "select rec_id, pm_id, title, publish_date, cast(fetched_at as date) as day from press_releases",
+    "court_list": """with r as (select r.pm_id as id, min(r.publish_date) as day, min(r.title) as title from (select unnest(releases) as r from court_matches) group by 1)
+select * from r union all select id, null, min(court) from (select pm_number || '/' || pm_year as id, court from raw_courts where pm_number is not null) where id not in (select id from r) group by id""",
+    "text_slugs": "select rec_id, trim(regexp_replace(lower(title), '[^0-9a-z]+', '-', 'g'), '-') as slug, left(sha1(title), 8) as mark from press_releases",
+    "release_refs": r"""select court_doc_id, array_to_string((select list(x order by i) from (select x, min(i) as i from (select unnest(list_transform(regexp_extract_all(text, '(?i)PM\s*\d+\s*/\s*\d{2,4}'),
+  lambda v: regexp_extract(v, '(\d+)\s*/', 1) || '/' || case when length(regexp_extract(v, '/\s*(\d+)', 1)) = 2 then '20' else '' end || regexp_extract(v, '/\s*(\d+)', 1))) as x, generate_subscripts(regexp_extract_all(text, '(?i)PM\s*\d+\s*/\s*\d{2,4}'), 1) as i) group by x)), '|') as refs from raw_courts""",
+    "without_imprint": r"select court_doc_id, cast(length(trim(regexp_replace(regexp_replace(text, '(?s)\n\s*Verantwortlich\b.*$', ''), '\s+', ' ', 'g'))) as integer) as n from raw_courts",
+    "size_rollup": "select source, count(*) as n, cast(sum(length(text)) as bigint) as total, cast(max(length(text)) as integer) as largest, count(*) filter (where length(text) > 1000) as n_large from documents group by source",
+    "lookup_box": "select area_no, count(*) as n from series where centroid_lat between 52.95 and 53.22 and centroid_lon between 8.45 and 9.05 group by area_no",
     "classify_counts": f"""select case when category in ({', '.join(repr(x) for x in rules.FOLDED)}) then 'Sonstiges' else category end as category, count(*) as n
   from (select {_CAT} as category from (select coalesce(title, '') || chr(10) || coalesce(text, '') as text from press_releases)) group by 1""",
     "date_parse_matrix": f"""select rec_id, {_LINE} as line, {_ISO.format('publish_date')} as iso, {_FIRST.format('zeit_raw')} as first from press_releases""",

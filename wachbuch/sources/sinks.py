@@ -10,6 +10,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wachbuch.session import cut
+
 
 def atomic_text(path: str, text: str) -> None:
     """Writes a small local file so that a reader sees the old or the new one, never a part."""
@@ -52,28 +54,36 @@ def document(row: dict) -> str:
     return json.dumps(row, ensure_ascii=False, allow_nan=False)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, as ``files.csv`` reads it: quotes doubled, days as yyyy-MM-dd; an empty string comes back as missing."""
+    df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("dateFormat", "yyyy-MM-dd").csv(path)
+
+
 class Shrunk(RuntimeError):
     """A write would lose records."""
 
 
 def write_archive(df: DataFrame, path: str, copy: str, n_loaded: int, key: str = "key") -> int:
     """Writes the archive and its copy, sorted by key; refuses to store fewer records than were loaded."""
-    n = df.count()
+    # the table may be read from the very archive that is written
+    ordered = cut(df.repartitionByRange(key).sortWithinPartitions(key))
+    n = ordered.count()
     if n < n_loaded:
         raise Shrunk(f"{n} records, {n_loaded} were loaded")
-    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
-    for p in (path, copy):
+    # the copy is whole before the archive is touched
+    for p in (copy, path):
         ordered.write.mode("overwrite").parquet(p)
     return n
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key isn't stored yet, each once; returns them."""
+    """Appends the rows whose key isn't stored yet, each once; returns them. ``path`` may be on any file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     rest = [c for c in new.columns if c != key]
     fresh = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*").select(*new.columns)
-    if os.path.exists(path):
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(*new.columns)
-    fresh = fresh.persist()
+    fresh = cut(fresh)
     fresh.write.mode("append").parquet(path)
     return fresh
 
