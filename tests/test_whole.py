@@ -52,3 +52,10 @@ def test_posterior_of_every_day(spark, data):
     days = {r.day for r in incidents.time_grid(spark, data).select("day").distinct().collect()}
     series = {(r.district, r.category) for r in got.select("district", "category").distinct().collect()}
     assert {(r.district, r.category, r.day) for r in got.collect()} == {(*s, x) for s in series for x in days}
+
+
+def test_a_text_without_references_has_none(spark, tmp_path):
+    told = {1: "Siehe PM 7/26, pm 12 / 2025 und PM 07/26, PM 7/2026.", 2: "Ohne Verweis.", 3: "", 4: None}
+    spark.createDataFrame([*told.items()], "court_doc_id long, text string").write.parquet(str(tmp_path / "raw_courts.parquet"))
+    got = {r.court_doc_id: r.refs for r in texts.QUERIES["release_refs"](spark, str(tmp_path)).collect()}
+    assert got == {1: "7/2026|12/2025|07/2026", 2: None, 3: None, 4: None}

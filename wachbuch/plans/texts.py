@@ -125,7 +125,7 @@ QUERIES = {
     "court_stats": lambda s, d: (lambda c: courts.stats(courts.match(c, incident_rows(s, d).select(F.col("key").alias("pm_id"), "category", "day", "district", "ort_raw", "other_city")), c))(cut(courts.cases(court_rows(s, d)))),
     "rekeyed": rekeyed,
     "text_slugs": lambda s, d: press(s, d).select("rec_id", rules.slug(F.col("title")).alias("slug"), rules.fingerprint(F.col("title"), 8).alias("mark")),
-    "release_refs": lambda s, d: table(s, d, "raw_courts").select("court_doc_id", F.array_join(rules.release_refs(F.col("text")), "|").alias("refs")),
+    "release_refs": lambda s, d: table(s, d, "raw_courts").select("court_doc_id", F.nullif(F.array_join(rules.release_refs(F.col("text")), "|"), F.lit("")).alias("refs")),
     "without_imprint": lambda s, d: table(s, d, "raw_courts").select("court_doc_id", F.length(rules.without_imprint(F.col("text"))).alias("n")),
     "size_rollup": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("total"), F.max(F.length("text")).alias("largest"), F.count_if(F.length("text") > 1000).alias("n_large")),
     "distinct_sketch": lambda s, d: table(s, d, "press_releases").groupBy("origin").agg(F.hll_sketch_agg("source_url", 12).alias("h")).agg(F.hll_sketch_estimate(F.hll_union_agg("h", True)).alias("pages")),
