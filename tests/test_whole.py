@@ -1,6 +1,7 @@
 """Registered queries take all rows of the feed and return all of their results."""
 
 import math
+from datetime import datetime
 from itertools import combinations
 
 from wachbuch.operators.components import components
@@ -59,3 +60,11 @@ def test_a_text_without_references_has_none(spark, tmp_path):
     spark.createDataFrame([*told.items()], "court_doc_id long, text string").write.parquet(str(tmp_path / "raw_courts.parquet"))
     got = {r.court_doc_id: r.refs for r in texts.QUERIES["release_refs"](spark, str(tmp_path)).collect()}
     assert got == {1: "7/2026|12/2025|07/2026", 2: None, 3: None, 4: None}
+
+
+def test_csv_gives_back_empty_and_missing_values(spark, tmp_path):
+    odd = ["", None, " ", "\t", "\n", "a\r\nb", "a\r", '"', '""', '"a", b', "a\\", "null", "\ufeffx", "\x00", "a\u2028b", "#x", ""]
+    rows = [(k, x, odd[-1 - k], x, datetime(2026, 5, 4, 23, 59) if k % 2 else None) for k, x in enumerate(odd)]
+    spark.createDataFrame(rows, "rec_id long, pm_id string, title string, publish_date string, fetched_at timestamp_ntz").write.parquet(str(tmp_path / "press_releases.parquet"))
+    got = sorted(tuple(r) for r in texts.QUERIES["csv_round_trip"](spark, str(tmp_path)).collect())
+    assert got == [(*r[:4], r[4] and r[4].date()) for r in rows]

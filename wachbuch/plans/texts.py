@@ -96,8 +96,8 @@ def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Incident columns written as CSV and read again."""
     cols = press(s, d).select("rec_id", "pm_id", "title", "publish_date", F.to_date("fetched_at").alias("day"))
     place = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
-    sinks.write_csv(cols, place)
-    return files.csv(s, place, "rec_id long, pm_id string, title string, publish_date string, day date")
+    sinks.write_csv(cols, place, keep_empty=True)
+    return files.csv(s, place, "rec_id long, pm_id string, title string, publish_date string, day date", keep_empty=True)
 
 
 def court_list(s: SparkSession, d: str) -> DataFrame:

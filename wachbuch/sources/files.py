@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,9 +31,14 @@ def jsonl_tolerant(spark: SparkSession, path: str, schema: str | StructType) ->
     return d.where(~broken).select("r.*").drop("_bad"), d.where(broken).select(F.col("value").alias("line"))
 
 
-def csv(spark: SparkSession, path: str, schema: str | StructType, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """CSV with header and given types; ids stay text, so that ``002825`` doesn't become 2825.0."""
-    return spark.read.schema(_schema(schema)).option("header", True).option("multiLine", True).option("escape", '"').option("dateFormat", date_format).csv(path)
+def csv(spark: SparkSession, path: str, schema: str | StructType, date_format: str = "yyyy-MM-dd", keep_empty: bool = False) -> DataFrame:
+    """CSV with header and given types; ids stay text, so that ``002825`` doesn't become 2825.0. With ``keep_empty`` a quoted
+    empty string is one, and only a field without anything is missing."""
+    d = spark.read.schema(_schema(schema)).option("header", True).option("multiLine", True).option("escape", '"').option("dateFormat", date_format)
+    if keep_empty:
+        # what the parser puts for a missing field: a mark drawn now is in no file
+        d = d.option("emptyValue", "").option("nullValue", uuid.uuid4().hex)
+    return d.csv(path)
 
 
 def json_document(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

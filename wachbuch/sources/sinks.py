@@ -54,9 +54,11 @@ def document(row: dict) -> str:
     return json.dumps(row, ensure_ascii=False, allow_nan=False)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, as ``files.csv`` reads it: quotes doubled, days as yyyy-MM-dd; an empty string comes back as missing."""
-    df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("dateFormat", "yyyy-MM-dd").csv(path)
+def write_csv(df: DataFrame, path: str, keep_empty: bool = False) -> None:
+    """CSV with a header, as ``files.csv`` reads it: quotes doubled, days as yyyy-MM-dd. An empty string comes back as missing, unless
+    ``keep_empty`` has it written as ``""``."""
+    empty = '""' if keep_empty else ""
+    df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("emptyValue", empty).option("nullValue", "").option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
 class Shrunk(RuntimeError):
