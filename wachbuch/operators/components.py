@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wachbuch.session import cut
 
 
-def _sizeless(df: DataFrame) -> DataFrame:
+def sizeless(df: DataFrame) -> DataFrame:
     """``df`` without the planner's guess of its size: a checkpoint keeps the guess of the plan that it cuts, and
     guesses of joins are products, so their digits would double with every round."""
     spark = df.sparkSession
@@ -38,7 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # pointer jumping: the label of my label
         hop = new.select(F.col("node").alias("next"), F.col("next").alias("far"))
         new = new.join(hop, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"), "root")
-        new = _sizeless(cut(new))
+        new = sizeless(cut(new))
         changed = new.where("next <> root").limit(1).count()
         labels = new.select("node", F.col("next").alias("root"))
         if not changed:
