@@ -4,6 +4,7 @@ import math
 from datetime import datetime
 from itertools import combinations
 
+from wachbuch.operators import series
 from wachbuch.operators.components import components
 from wachbuch.plans import incidents, texts
 
@@ -68,3 +69,24 @@ def test_csv_gives_back_empty_and_missing_values(spark, tmp_path):
     spark.createDataFrame(rows, "rec_id long, pm_id string, title string, publish_date string, fetched_at timestamp_ntz").write.parquet(str(tmp_path / "press_releases.parquet"))
     got = sorted(tuple(r) for r in texts.QUERIES["csv_round_trip"](spark, str(tmp_path)).collect())
     assert got == [(*r[:4], r[4] and r[4].date()) for r in rows]
+
+
+def dense(spark, monkeypatch):
+    """Makes the feed two crowds about 8 km apart; returns the numbers of links that series are made from."""
+    lat, lon = "53 + (id * 7919 % 400) / 1e5 + (id % 2) * 0.07 as lat", "8.8 + (id * 104729 % 600) / 1e5 as lon"
+    df = spark.range(2000).selectExpr("id", "'a' as category", "date_add(date'2026-01-01', cast(id % 20 as int)) as day", lat, lon)
+    links, join = [], series.components
+
+    def counted(edges, *args):
+        links.append(edges.count())
+        return join(edges, *args)
+
+    monkeypatch.setattr(texts, "points", lambda s, d: df)
+    monkeypatch.setattr(series, "components", counted)
+    return links
+
+
+def test_clusters_of_a_dense_feed_need_few_links(spark, monkeypatch):
+    links = dense(spark, monkeypatch)
+    assert {(r.root, r.n) for r in texts.QUERIES["series_clusters"](spark, "").collect()} == {(0, 1000), (1, 1000)}
+    assert sum(links) < 2000

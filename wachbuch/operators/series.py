@@ -3,23 +3,35 @@
 Pairs come from an equi-join on category, a cell of the ground and a slice of time; a row's cell and
 slice stand alone on one side and with their neighbours on the other, so each pair meets exactly once.
 Crowded cells are split. Components of the pairs are the series; their members' order doesn't matter.
+
+Series of a dense feed have far more pairs than members, so ``labels`` doesn't list them: cells are cut into blocks within
+which all incidents are close, and blocks are linked. Most links show in blocks' outermost incidents; only where two blocks
+that may touch aren't joined by such links are their incidents compared.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wachbuch.functions.geo import EARTH_M, haversine_m
 from wachbuch.operators.components import components
-from wachbuch.operators.skew import split_join
+from wachbuch.operators.skew import SMALL, split_join
+from wachbuch.session import cut
+
+#: What tells a block: its cell, and its place in it.
+BLOCK = ["category", "slot", "cy", "cx", "by", "bx"]
+
+
+def _step(metres: float) -> float:
+    return math.degrees(metres / EARTH_M) * (1 + 1e-9)
 
 
 def _cells(df: DataFrame, metres: float) -> DataFrame:
     """Cells of at least ``metres``: rows by latitude, columns by longitude at the row's narrow end."""
-    step = math.degrees(metres / EARTH_M) * (1 + 1e-9)
+    step = _step(metres)
     cy = F.floor(F.col("lat") / step)
     narrow = F.cos(F.radians(F.least(F.abs(cy) * step + 2 * step, F.lit(89.0))))
     return df.withColumns({"cy": cy, "scale": narrow}).withColumn("cx", F.floor(F.col("lon") * narrow / step))
@@ -31,7 +43,7 @@ def close_pairs(df: DataFrame, metres: float, days: int) -> DataFrame:
     ``df``: id, category, day, lat, lon; rows with a NULL are left out. The column of a cell depends on
     its row's scale, so a query looks up its own place in each neighbouring row's scale.
     """
-    step = math.degrees(metres / EARTH_M) * (1 + 1e-9)
+    step = _step(metres)
     d = df.select("id", "category", "day", "lat", "lon").dropna()
     span = max(1, days)
     slot = F.floor(F.unix_date("day") / span)
@@ -53,22 +65,113 @@ def without_followups(df: DataFrame, metres: float = 30.0) -> DataFrame:
     return df.where(F.col("day").isNotNull()).join(later, "id", "left_anti")
 
 
+def blocks(df: DataFrame, metres: float, days: int) -> DataFrame:
+    """``df`` without rows that have a NULL, with ``BLOCK``; any two of a block are at most ``metres`` and ``days`` apart."""
+    step = _step(metres)
+    d = _cells(df.select("id", "category", "day", "lat", "lon").dropna(), metres).withColumn("slot", F.floor(F.unix_date("day") / (days + 1)))
+    # half a row high, so at its wide end a block may be 0.86 of a row wide
+    wide = F.cos(F.radians(F.greatest(F.abs("cy") - 1, F.lit(0)) * step))
+    columns = F.ceil(wide / F.col("scale") / 0.85)
+    return d.withColumns({"by": F.floor(F.col("lat") / step * 2), "bx": F.floor(F.col("lon") * F.col("scale") / step * columns)}).drop("scale")
+
+
+def _lower(lat: Column, lon: Column, cos: Column) -> Column:
+    """Metres that two boxes are at least apart: gaps of latitude and longitude, least product of cosines."""
+    h = F.pow(F.sin(F.radians(lat) / 2), 2) + cos * F.pow(F.sin(F.radians(lon) / 2), 2)
+    return 2 * EARTH_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def _cos(south: Column, north: Column) -> Column:
+    return F.least(F.cos(F.radians(south)), F.cos(F.radians(north)))
+
+
+def _near(b: DataFrame, metres: float, days: int) -> DataFrame:
+    """Pairs of blocks that may hold a close pair, the second one's columns with ``r_``; ``sure`` if they certainly do."""
+    b = b.drop("n_ids", "lats", "lons")
+    step = _step(metres)
+    keys = ["category", "slot", "cy", "cx"]
+    right = b.select(*keys, *[F.col(c).alias(f"r_{c}") for c in b.columns if c != "category"])
+    left = b.withColumnsRenamed({c: f"l_{c}" for c in keys[1:]})
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    left = left.withColumn("slot", around("l_slot")).withColumn("cy", around("l_cy"))
+    # a block looks up its own place in each neighbouring row's scale
+    narrow = F.cos(F.radians(F.least(F.abs("cy") * step + 2 * step, F.lit(89.0))))
+    left = left.withColumn("cx", F.explode(F.sequence(F.floor(F.col("w") * narrow / step) - 1, F.floor(F.col("e") * narrow / step) + 1)))
+    j = split_join(left, right, keys).where("node < r_node")
+    gap = lambda low, high: F.greatest(F.col(f"r_{low}") - F.col(high), F.col(low) - F.col(f"r_{high}"), F.lit(0))
+    j = j.where(F.greatest(F.datediff("r_first", "last"), F.datediff("first", "r_last")) <= days)
+    j = j.where(_lower(gap("s", "n"), gap("w", "e"), _cos(F.col("s"), F.col("n")) * _cos(F.col("r_s"), F.col("r_n"))) <= metres * (1 + 1e-9))
+    points = {"s": ("s", "s_lon"), "n": ("n", "n_lon"), "w": ("w_lat", "w"), "e": ("e_lat", "e")}
+    apart = lambda p, q: haversine_m(*[F.col(c) for c in points[p]], *[F.col(f"r_{c}") for c in points[q]])
+    met = F.least(apart("s", "n"), apart("n", "s"), apart("w", "e"), apart("e", "w")) <= metres
+    here = (F.col("l_cy") == F.col("r_cy")) & (F.col("l_cx") == F.col("r_cx")) & (F.col("by") == F.col("r_by")) & (F.col("bx") == F.col("r_bx"))
+    return j.withColumn("sure", here | (met & (F.greatest(F.datediff("r_last", "first"), F.datediff("last", "r_first")) <= days)))
+
+
+def labels(points: DataFrame, metres: float, days: int) -> DataFrame:
+    """``BLOCK, root``: each block of ``points`` with the smallest id of its series; number, days and sums of places (``n_ids, first, last, lats, lons``) of the block."""
+    b = points.groupBy(*BLOCK).agg(
+        F.count("*").alias("n_ids"), F.sum("lat").alias("lats"), F.sum("lon").alias("lons"), F.min("id").alias("node"), F.min("day").alias("first"), F.max("day").alias("last"),
+        F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"),
+        F.min_by("lon", "lat").alias("s_lon"), F.max_by("lon", "lat").alias("n_lon"), F.min_by("lat", "lon").alias("w_lat"), F.max_by("lat", "lon").alias("e_lat"),
+    )
+    b = cut(b)
+    # one link a block joins most of what is dense, so few links between what it leaves apart have to be kept
+    first = _near(b, metres, days).where("sure").groupBy("r_node").agg(F.min("node").alias("node"))
+    b = cut(b.join(components(first, "node", "r_node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    b = _joined(b, _near(b, metres, days).where("sure and root <> r_root"))
+    boxes = [f"{r}{c}" for c in ("first", "last", "s", "n", "w", "e") for r in ("", "r_")]
+    rest = cut(_near(b, metres, days).where("not sure and root <> r_root").select("root", "r_root", "node", "r_node", *boxes))
+    if not rest.isEmpty():
+        b = _joined(b, _compared(points, b, rest, metres, days))
+    return b.select(*BLOCK, "root", "n_ids", "first", "last", "lats", "lons")
+
+
+def _joined(b: DataFrame, links: DataFrame) -> DataFrame:
+    """The blocks ``b`` with the roots that ``links`` of roots (``root, r_root``) give them."""
+    last = components(links, "root", "r_root").withColumnsRenamed({"root": "far", "node": "root"})
+    return cut(b.join(last, "root", "left").withColumn("root", F.coalesce("far", "root")).drop("far"))
+
+
+def _compared(points: DataFrame, b: DataFrame, pairs: DataFrame, metres: float, days: int) -> DataFrame:
+    """``root, r_root`` of those pairs of blocks that hold a close pair, by comparing their incidents."""
+    used = cut(pairs.select("node").union(pairs.select("r_node")).distinct().join(b.select("node", *BLOCK), "node"))
+    p = points.join(F.broadcast(used) if used.count() <= SMALL else used, BLOCK).select("node", "id", "day", "lat", "lon")
+
+    def side(own: str, other: str) -> DataFrame:
+        """The incidents of one block that are within reach of the other's box and days."""
+        d = pairs.join(p.withColumnsRenamed({"node": f"{own}node", **({c: f"{own}{c}" for c in ("id", "day", "lat", "lon")} if own else {})}), f"{own}node")
+        lat, lon, day = (F.col(f"{own}{c}") for c in ("lat", "lon", "day"))
+        gap = lambda x, low, high: F.greatest(F.col(f"{other}{low}") - x, x - F.col(f"{other}{high}"), F.lit(0))
+        near = _lower(gap(lat, "s", "n"), gap(lon, "w", "e"), F.cos(F.radians(lat)) * _cos(F.col(f"{other}s"), F.col(f"{other}n"))) <= metres * (1 + 1e-9)
+        return d.where(near & (F.greatest(F.datediff(f"{other}first", day), F.datediff(day, f"{other}last")) <= days))
+
+    keys = ["root", "r_root", "node", "r_node"]
+    j = split_join(side("", "r_").select(*keys, "day", "lat", "lon"), side("r_", "").select(*keys, "r_id", "r_day", "r_lat", "r_lon"), keys)
+    j = j.where(F.abs(F.datediff("day", "r_day")) <= days).where(haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= metres)
+    return j.select("root", "r_root").distinct()
+
+
+def groups(df: DataFrame, metres: float = 1000.0, days: int = 14, least: int = 3) -> DataFrame:
+    """One row per series of at least ``least`` incidents, which are two or more: root, category, n, first and last day, span, and centroid."""
+    return _summed(labels(blocks(df, metres, days), metres, days), least)
+
+
+def _summed(of: DataFrame, least: int) -> DataFrame:
+    g = of.groupBy("root", "category").agg(F.sum("n_ids").alias("n"), F.min("first").alias("date_start"), F.max("last").alias("date_end"), F.sum("lats").alias("y"), F.sum("lons").alias("x"))
+    mean = {f"centroid_{c}": F.round(F.col(s) / F.col("n"), 5) for c, s in (("lat", "y"), ("lon", "x"))}
+    return g.where(F.col("n") >= max(least, 2)).withColumns(mean).drop("y", "x").withColumn("span_days", F.datediff("date_end", "date_start"))
+
+
 def find(df: DataFrame, metres: float = 1000.0, days: int = 14, least: int = 3) -> DataFrame:
-    """One row per series of at least ``least`` incidents: root, category, n, first and last day, span,
-    centroid, largest distance between members (see ``largest_distance``), and the members' ids."""
-    pairs = close_pairs(df, metres, days)
-    c = components(pairs)
-    m = c.join(df, F.col("node") == F.col("id"))
-    g = m.groupBy("root", "category").agg(
-        F.count("*").alias("n"), F.min("day").alias("date_start"), F.max("day").alias("date_end"),
-        F.round(F.avg("lat"), 5).alias("centroid_lat"), F.round(F.avg("lon"), 5).alias("centroid_lon"), F.array_sort(F.collect_list("id")).alias("ids"),
-    ).where(F.col("n") >= least)
-    spread = largest_distance(m.join(g.select("root"), "root").select("root", "lat", "lon"))
-    return g.join(spread, "root").withColumn("span_days", F.datediff("date_end", "date_start"))
-
-
-def largest_distance(members: DataFrame) -> DataFrame:
-    """``root, max_spread_m``: the largest distance within each series, in one aggregation.
+    """``groups`` with the largest distance between members (see ``_members``) and the members' ids."""
+    points = blocks(df, metres, days)
+    of = labels(points, metres, days)
+    return _summed(of, least).join(_members(points.join(of.select(*BLOCK, "root"), BLOCK)), "root")
+
+
+def _members(members: DataFrame) -> DataFrame:
+    """``root, ids, max_spread_m``: the ids of each series, and the largest distance within it, in one aggregation.
 
     Only pairs of a series' extreme points are compared: per series the farthest point in each of 64
     directions. The farthest pair lies on the hull; what 64 directions miss is below 0.13 %.
@@ -76,6 +179,6 @@ def largest_distance(members: DataFrame) -> DataFrame:
     here = F.struct("lat", "lon")
     dirs = [(math.cos(math.pi * k / 32), math.sin(math.pi * k / 32)) for k in range(64)]
     ends = [F.max_by(here, F.col("lat") * a + F.col("lon") * F.cos(F.radians("lat")) * b) for a, b in dirs]
-    ext = members.groupBy("root").agg(F.array_distinct(F.array(*ends)).alias("e"))
+    ext = members.groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.array_distinct(F.array(*ends)).alias("e"))
     far = lambda x: F.array_max(F.transform(F.col("e"), lambda y: haversine_m(x.lat, x.lon, y.lat, y.lon)))
-    return ext.select("root", F.round(F.array_max(F.transform("e", far)), 0).cast("int").alias("max_spread_m"))
+    return ext.select("root", "ids", F.round(F.array_max(F.transform("e", far)), 0).cast("int").alias("max_spread_m"))

@@ -89,7 +89,7 @@ def followups(s: SparkSession, d: str) -> DataFrame:
 
 
 def clusters(s: SparkSession, d: str) -> DataFrame:
-    return series.find(points(s, d), 1000.0, 14, 3).select("root", "category", "n", "date_start", "date_end", "span_days")
+    return series.groups(points(s, d), 1000.0, 14, 3).select("root", "category", "n", "date_start", "date_end", "span_days")
 
 
 def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
