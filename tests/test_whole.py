@@ -90,3 +90,14 @@ def test_clusters_of_a_dense_feed_need_few_links(spark, monkeypatch):
     links = dense(spark, monkeypatch)
     assert {(r.root, r.n) for r in texts.QUERIES["series_clusters"](spark, "").collect()} == {(0, 1000), (1, 1000)}
     assert sum(links) < 2000
+
+
+def test_spread_of_a_dense_feed_needs_few_links(spark, monkeypatch):
+    links = dense(spark, monkeypatch)
+    points = texts.points(spark, "").collect()
+    for r in texts.QUERIES["series_spread"](spark, "").collect():
+        own = [p for p in points if p.id % 2 == r.root]
+        far = max(metres(p, q) for p in own[::5] for q in own)
+        assert r.n == 1000 and far * 0.998 - 1 <= r.max_spread_m <= 800
+        assert abs(r.centroid_lat - sum(p.lat for p in own) / 1000) <= 1e-5
+    assert sum(links) < 2000
